@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import quality
+from . import mixing, quality, viterbi
 
 
 def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(C.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_distribution_divergence,)}
-ORACLE_SQL: dict[str, str] = {}
+def op6_hash_threshold_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(C.table(spark, sf_dir, "documents"))
+
+
+def op10_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi.encoded(C.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_distribution_divergence, op6_hash_threshold_mixing, op10_streaming_viterbi)}
+ORACLE_SQL: dict[str, str] = {"op6_hash_threshold_mixing": mixing.ORACLE}
