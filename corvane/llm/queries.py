@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import mixing, quality, viterbi
+from . import jaccard, mixing, quality, viterbi, wavelet
+
+
+def op1_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.stored(C.table(spark, sf_dir, "documents"))
 
 
 def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +20,22 @@ def op6_hash_threshold_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(C.table(spark, sf_dir, "documents"))
 
 
+def op9_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(C.table(spark, sf_dir, "documents"))
+
+
 def op10_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.encoded(C.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_distribution_divergence, op6_hash_threshold_mixing, op10_streaming_viterbi)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_wavelet_matrix,
+        op5_distribution_divergence,
+        op6_hash_threshold_mixing,
+        op9_chosen_path_join,
+        op10_streaming_viterbi,
+    )
+}
 ORACLE_SQL: dict[str, str] = {"op6_hash_threshold_mixing": mixing.ORACLE}
