@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import jaccard, mixing, quality, viterbi, wavelet
+from . import jaccard, mixing, quality, toxicity, viterbi, wavelet
 
 
 def op1_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op6_hash_threshold_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(C.table(spark, sf_dir, "documents"))
 
 
+def op7_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.train(docs, C.table(spark, sf_dir, "labels")))
+
+
 def op9_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(C.table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,7 @@ QUERIES = {
         op1_wavelet_matrix,
         op5_distribution_divergence,
         op6_hash_threshold_mixing,
+        op7_classifier_chain,
         op9_chosen_path_join,
         op10_streaming_viterbi,
     )
