@@ -5,14 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import common as C
-from corvane.llm import quality
+from corvane.llm import jaccard, mixing, quality, toxicity, viterbi
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no category of the classifier chain rejects."""
+    return toxicity.keep(docs, toxicity.train(docs, C.table(spark, sf_dir, "labels")))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and their language's histograms keep."""
     return quality.keep(docs)
 
 
-STAGES = [("quality rules", quality_stage)]
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the least doc_id."""
+    return jaccard.one_of_each(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, each as often as its source's target asks for."""
+    return mixing.take(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document of the mix, checked by decoding them."""
+    return viterbi.encoded(docs, with_ids=True)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("quality rules", quality_stage),
+    ("n-gram jaccard join", jaccard_stage),
+    ("mixing sources", mixing_stage),
+    ("sentencepiece encoding", encoding_stage),
+]
 #: The toxicity stage learns its model, which SQL can't express; tests/llm holds the pipeline against a brute-force version.
 ORACLE_SQL = None
 
