@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .text import tokens
+from .text import let, tokens
 
 N_BOOT = 2000
 
@@ -17,9 +17,10 @@ N_BOOT = 2000
 
 
 def common_tokens(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two token arrays: one merge-like pass over the distinct tokens of the first."""
+    """Size of the multiset intersection of two token arrays."""
     count = lambda arr, t: F.size(F.filter(arr, lambda x: x == t))
-    return F.aggregate(F.array_distinct(F.array_intersect(a, b)), F.lit(0), lambda n, t: n + F.least(count(a, t), count(b, t)))
+    both = F.struct(a.alias("a"), b.alias("b"))
+    return let(both, lambda s: F.aggregate(F.array_distinct(F.array_intersect(s["a"], s["b"])), F.lit(0), lambda n, t: n + F.least(count(s["a"], t), count(s["b"], t))))
 
 
 def f1(common: Column, n_a: Column, n_b: Column) -> Column:

@@ -12,6 +12,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: inside another lambda an expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def ws(c) -> Column:
     """Runs of white space become one space; ends are trimmed."""
     return F.trim(F.regexp_replace(col(c), r"(?U)\s+", " "))

@@ -14,8 +14,8 @@ from ..functions import text as X
 
 def shingles(c, n: int = 8) -> Column:
     """Distinct n-word shingles over the metric tokens; none for fewer words."""
-    t = X.tokens(c)
-    return F.when(F.size(t) >= n, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, n), " ")))).otherwise(F.array().cast("array<string>"))
+    grams = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, n), " ")))
+    return X.let(X.tokens(c), lambda t: F.when(F.size(t) >= n, grams(t)).otherwise(F.array().cast("array<string>")))
 
 
 def sampled(hashes: Column, mod: int = 8) -> Column:

@@ -73,12 +73,12 @@ def containing(spans: DataFrame, texts: DataFrame, span_key: str, span: str, key
     """
     s = spans.select(F.col(span_key).alias("sk"), X.ws(span).alias("s")).where(F.length("s") > 0)
     t = texts.select(F.col(key).alias("k"), X.ws(text).alias("t"))
-    words = lambda c: F.split(c, " ")
-    inner = lambda c: F.when(F.size(words(c)) >= n + 2, F.transform(F.sequence(F.lit(1), F.size(words(c)) - n - 1), lambda i: F.xxhash64(F.array_join(F.slice(words(c), i + 1, n), " "))))
     # a span's first and last word may be parts of words in the text: only the inner ones make shingles
-    grams = lambda c: F.transform(F.sequence(F.lit(0), F.size(words(c)) - n), lambda i: F.xxhash64(F.array_join(F.slice(words(c), i + 1, n), " ")))
-    postings = t.where(F.size(words(F.col("t"))) >= n).select("k", F.explode(F.array_distinct(grams(F.col("t")))).alias("h"))
-    asked = s.where(F.size(words(F.col("s"))) >= n + 2).select("sk", F.explode(F.array_distinct(inner(F.col("s")))).alias("h"))
+    grams = lambda w, a, b: F.array_distinct(F.transform(F.sequence(a, b), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, n), " "))))
+    of_text = X.let(F.split("t", " "), lambda w: F.when(F.size(w) >= n, grams(w, F.lit(0), F.size(w) - n)))
+    of_span = X.let(F.split("s", " "), lambda w: F.when(F.size(w) >= n + 2, grams(w, F.lit(1), F.size(w) - n - 1)))
+    words = lambda c: F.split(c, " ")
+    postings, asked = t.select("k", F.explode(of_text).alias("h")), s.select("sk", F.explode(of_span).alias("h"))
     held = postings.join(asked.select("h").distinct(), "h", "left_semi")
     often = held.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     rarest = asked.join(often, "h").groupBy("sk").agg(F.min_by("h", F.struct("n", "h")).alias("h"))
