@@ -39,7 +39,7 @@ def clean_stem(c) -> Column:
 
 
 def unspace(c) -> Column:
-    """Letter-spaced runs of three characters or more are closed up ('C H A P T E R 1' -> 'CHAPTER 1'); so is 'C ontents' as a whole.
+    """Letter-spaced runs of three characters or more are closed up ('C H A P T E R one' -> 'CHAPTER one'); so is 'C ontents' as a whole.
 
     A run is a maximal row of single characters with one space between; the words are folded from left to right.
     """

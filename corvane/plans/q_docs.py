@@ -22,7 +22,7 @@ from .q_tables import SHINGLES
 from .registry import query
 from .stand_ins import LINES, PAIRS, blocks, lines, pairs, table
 
-ONE = F.lit(1)
+ONE = "*"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
