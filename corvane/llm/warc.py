@@ -29,7 +29,8 @@ from . import html as H
 
 VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
-RECORDS_PER_FILE = 20_000
+RECORDS_PER_FILE = 2_000
+LEVEL = 3
 
 
 # ---- records
@@ -112,7 +113,7 @@ def derive(raw: bytes) -> tuple[bytes, bytes] | None:
 
 
 def member(raw: bytes) -> bytes:
-    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return z.compress(raw) + z.flush()
 
 
