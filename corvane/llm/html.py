@@ -2,8 +2,8 @@
 
 A page is cut into blocks at block-level tags. A block has its word count and link density (share of words inside links), those
 of the blocks before and after it, and marks: inside a part that its tag, role, class or id names as a menu, header, footer,
-sidebar, notice, advert, form or reader comments; its place, inside an article or main element (1), outside that of the page
-(-1), or on a page without one (0); a heading. The tree is
+sidebar, notice, advert, form or reader comments, or outside the article or main element of a page that has one (aside); inside
+such an element; a heading. The tree is
 trained on the labelled table LABELLED when a worker starts.
 
 Cases: null, empty or blank html: empty text; unclosed, stray or cut off tags and comments, unknown character references: read
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ _MARKS = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"
 _WORDS = re.compile(r"[a-z0-9]+")
 #: Elements whose content is no text of the page.
 SILENT = {"script", "style", "noscript", "template", "title", "textarea", "iframe", "svg", "math", "object", "canvas", "noframes", "xmp"}
+_END = {t: re.compile(rf"</{t}(?:[\s/][^>]*)?(?:>|\Z)", re.I) for t in SILENT}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set(
     "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
@@ -43,7 +45,7 @@ BOILER_MARKS = set(
 MAIN_TAGS = {"article", "main"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "boiler", "place", "heading")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "aside", "inside", "heading")
 #: Blocks labelled by hand (fixed values): FEATURES, then 1 for main text.
 LABELLED = [
     # the article of a page that marks it
@@ -56,9 +58,9 @@ LABELLED = [
     # boilerplate inside it
     (12, 0, 60, 0, 70, 0, 1, 1, 0, 0), (45, 0, 30, 0, 40, 0, 1, 1, 0, 0), (3, 0, 30, 0, 45, 0, 1, 1, 1, 0), (120, 0.1, 45, 0, 4, 0, 1, 1, 0, 0), (1, 1, 20, 0, 1, 1, 1, 1, 0, 0),
     # what surrounds it
-    (1, 1, 1, 1, 1, 1, 1, -1, 0, 0), (1, 1, 1, 1, 7, 0, 1, -1, 0, 0), (7, 0, 1, 1, 9, 0, 1, -1, 0, 0), (25, 0, 1, 1, 9, 0, 1, -1, 0, 0), (16, 0.1, 60, 0, 0, 0, 1, -1, 0, 0),
-    (80, 0, 60, 0, 40, 0, 1, -1, 0, 0), (5, 0, 0, 0, 60, 0, 0, -1, 0, 0), (30, 0, 20, 0, 30, 0, 0, -1, 0, 0), (90, 0.1, 90, 0, 3, 1, 0, -1, 0, 0), (2, 1, 4, 1, 4, 1, 0, -1, 0, 0),
-    (7, 0, 3, 1, 9, 0, 0, -1, 0, 0), (10, 0, 16, 0, 0, 0, 0, -1, 1, 0),
+    (1, 1, 1, 1, 1, 1, 1, 0, 0, 0), (1, 1, 1, 1, 7, 0, 1, 0, 0, 0), (7, 0, 1, 1, 9, 0, 1, 0, 0, 0), (25, 0, 1, 1, 9, 0, 1, 0, 0, 0), (16, 0.1, 60, 0, 0, 0, 1, 0, 0, 0),
+    (80, 0, 60, 0, 40, 0, 1, 0, 0, 0), (5, 0, 0, 0, 60, 0, 1, 0, 0, 0), (30, 0, 20, 0, 30, 0, 1, 0, 0, 0), (90, 0.1, 90, 0, 3, 1, 1, 0, 0, 0), (2, 1, 4, 1, 4, 1, 1, 0, 0, 0),
+    (7, 0, 3, 1, 9, 0, 1, 0, 0, 0), (10, 0, 16, 0, 0, 0, 1, 0, 1, 0),
     # pages without such an element: text
     (60, 0, 8, 0, 70, 0.05, 0, 0, 0, 1), (70, 0.05, 60, 0, 30, 0, 0, 0, 0, 1), (30, 0, 70, 0.05, 18, 0.1, 0, 0, 0, 1), (18, 0.1, 30, 0, 45, 0, 0, 0, 0, 1),
     (8, 0, 3, 1, 60, 0, 0, 0, 1, 1), (10, 0, 60, 0, 12, 0, 0, 0, 0, 1), (12, 0, 10, 0, 40, 0, 0, 0, 0, 1), (5, 0, 45, 0, 50, 0, 0, 0, 1, 1), (150, 0.2, 2, 1, 3, 1, 0, 0, 0, 1),
@@ -67,13 +69,19 @@ LABELLED = [
     (1, 1, 1, 1, 2, 1, 0, 0, 0, 0), (3, 1, 2, 1, 8, 0, 0, 0, 0, 0), (6, 0.7, 60, 0, 5, 1, 0, 0, 0, 0), (12, 0.9, 4, 1, 4, 1, 0, 0, 0, 0), (4, 0, 2, 1, 3, 1, 0, 0, 0, 0),
     (3, 0, 3, 0, 2, 1, 0, 0, 0, 0), (10, 0, 2, 0.8, 6, 0.5, 0, 0, 0, 0), (5, 0, 2, 0, 6, 0, 0, 0, 0, 0), (12, 0, 3, 1, 4, 1, 0, 0, 0, 0), (30, 0.6, 10, 0.2, 40, 0.8, 0, 0, 0, 0), (25, 0.5, 60, 0, 3, 1, 0, 0, 0, 0),
     (2, 0, 0, 0, 2, 0.9, 0, 0, 1, 0), (40, 0, 30, 0, 40, 0, 1, 0, 0, 0), (2, 0, 5, 0, 40, 0, 1, 0, 0, 0), (9, 1, 40, 0, 0, 0, 1, 0, 0, 0), (100, 0, 9, 1, 9, 1, 1, 0, 0, 0),
+    # short blocks among short blocks, on pages without an article element
+    (3, 0, 3, 0, 3, 0, 0, 0, 0, 0), (6, 0, 4, 0, 5, 0, 0, 0, 0, 0), (8, 0, 2, 0, 7, 0, 0, 0, 0, 0), (2, 0, 9, 0, 4, 0, 0, 0, 0, 0), (10, 0, 5, 0, 3, 0, 0, 0, 0, 0), (4, 0, 0, 0, 3, 0, 0, 0, 0, 0), (7, 0, 6, 0, 0, 0, 0, 0, 0, 0),
+    (5, 0, 8, 0, 9, 0, 0, 0, 0, 0), (12, 0, 6, 0, 4, 0, 0, 0, 0, 0), (9, 0, 3, 0, 10, 0, 0, 0, 1, 0), (1, 0, 1, 0, 2, 0, 0, 0, 0, 0), (4, 0.2, 5, 0, 5, 0.2, 0, 0, 0, 0),
+    # named boilerplate there
+    (60, 0, 5, 0, 4, 0, 1, 0, 0, 0), (80, 0, 3, 1, 8, 0, 1, 0, 0, 0), (150, 0, 9, 0, 2, 0, 1, 0, 0, 0), (36, 0, 2, 0, 0, 0, 1, 0, 0, 0), (20, 0, 40, 0, 6, 0, 1, 0, 0, 0), (12, 0, 60, 0, 50, 0, 1, 0, 0, 0), (45, 0, 20, 0, 70, 0, 1, 0, 0, 0),
     # more of each place
+    (4, 0, 1, 0, 60, 0, 0, 1, 0, 1), (5, 0, 2, 0, 18, 0, 0, 1, 0, 1), (4, 0, 3, 0, 90, 0, 0, 1, 0, 1), (5, 0, 0, 0, 30, 0, 0, 1, 1, 1), (4, 0, 2, 0, 5, 0, 0, 1, 0, 1), (5, 0, 3, 0, 2, 0, 0, 1, 0, 1), (6, 0, 1, 0, 12, 0, 0, 1, 0, 1), (3, 0, 2, 0, 40, 0, 0, 1, 0, 1),
     (5, 0, 5, 0, 3, 1, 0, 1, 0, 1), (9, 0, 4, 0, 5, 1, 0, 1, 0, 1), (2, 0, 6, 0, 4, 1, 0, 1, 0, 1), (80, 0, 0, 0, 60, 0, 0, 0, 0, 1), (60, 0, 2, 0, 40, 0, 0, 0, 0, 1), (25, 0, 1, 0, 60, 0, 0, 0, 0, 1), (120, 0, 0, 0, 0, 0, 0, 0, 0, 1),
     (35, 0, 2, 0, 4, 0, 0, 1, 0, 1), (7, 0, 22, 0, 30, 0, 0, 1, 0, 1), (25, 0, 40, 0, 5, 0, 0, 1, 0, 1), (60, 0, 60, 0, 0, 0, 0, 1, 0, 1), (2, 0, 20, 0, 16, 0, 0, 1, 0, 1), (90, 0, 8, 0, 2, 0, 0, 1, 0, 1),
     (5, 0, 80, 0, 3, 0, 0, 1, 0, 1), (40, 0.2, 3, 0, 6, 0, 0, 1, 0, 1), (11, 0, 15, 0, 26, 0, 0, 1, 0, 1), (200, 0, 50, 0, 1, 0, 0, 1, 0, 1), (3, 0, 4, 0, 22, 0, 0, 1, 0, 1), (8, 0, 0, 0, 0, 0, 0, 1, 0, 1),
     (6, 0, 47, 0, 5, 0, 0, 1, 0, 1), (1, 0, 1, 0, 1, 0, 0, 1, 0, 1), (33, 0, 36, 0, 90, 0, 0, 1, 0, 1), (15, 0, 24, 0, 7, 0, 0, 1, 1, 1),
-    (40, 0, 5, 0, 35, 0, 0, -1, 0, 0), (60, 0, 2, 0, 9, 0, 0, -1, 0, 0), (15, 0, 12, 0, 50, 0, 0, -1, 0, 0), (9, 0, 30, 0, 80, 0, 0, -1, 1, 0), (35, 0.2, 45, 0, 25, 0, 0, -1, 0, 0), (120, 0, 10, 0, 60, 0, 0, -1, 0, 0),
-    (22, 0, 60, 0, 22, 0, 0, -1, 0, 0), (4, 0, 8, 0, 20, 0, 0, -1, 0, 0), (50, 0, 33, 0, 2, 0, 0, -1, 0, 0), (3, 0, 0, 0, 8, 1, 0, -1, 0, 0), (18, 0, 20, 0, 70, 0, 0, -1, 0, 0), (28, 0, 14, 0, 14, 0, 0, -1, 0, 0),
+    (40, 0, 5, 0, 35, 0, 1, 0, 0, 0), (60, 0, 2, 0, 9, 0, 1, 0, 0, 0), (15, 0, 12, 0, 50, 0, 1, 0, 0, 0), (9, 0, 30, 0, 80, 0, 1, 0, 1, 0), (35, 0.2, 45, 0, 25, 0, 1, 0, 0, 0), (120, 0, 10, 0, 60, 0, 1, 0, 0, 0),
+    (22, 0, 60, 0, 22, 0, 1, 0, 0, 0), (4, 0, 8, 0, 20, 0, 1, 0, 0, 0), (50, 0, 33, 0, 2, 0, 1, 0, 0, 0), (3, 0, 0, 0, 8, 1, 1, 0, 0, 0), (18, 0, 20, 0, 70, 0, 1, 0, 0, 0), (28, 0, 14, 0, 14, 0, 1, 0, 0, 0),
 ]
 
 
@@ -83,7 +91,7 @@ LABELLED = [
 class Tree:
     """Splits by least weighted Gini impurity; ties go to the earlier feature and the lower threshold."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 1):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 2):
         self.answer, self.feature = bool(y.mean() >= 0.5), None
         if depth and 0 < y.sum() < len(y):
             found = self._split(x, y, least)
@@ -133,11 +141,24 @@ class Block:
         self.text, self.words, self.linked, self.boiler, self.main, self.heading = text, words, linked, boiler, main, heading
 
 
-def _boiler(tag: str, raw: str, in_main: bool) -> bool:
-    if tag in BOILER_TAGS or (tag == "header" and not in_main):
-        return True
-    if len(raw) <= len(tag) + 2 or tag in ("html", "body", "article", "main"):
-        return False
+class _Tag:
+    """What a tag says, whatever stands around it."""
+
+    __slots__ = ("name", "closing", "block", "silent", "void", "boiler", "header", "main")
+
+    def __init__(self, raw: str):
+        named = _NAME.match(raw)
+        self.name = named[1].lower() if named else ""
+        self.closing = raw[1:2] == "/"
+        self.block, self.void = self.name in BLOCK, self.name in _VOID
+        self.silent = self.name in SILENT and not self.closing and not (self.name in ("svg", "math") and raw.endswith("/>"))
+        self.header = self.name == "header"
+        self.main = self.name in MAIN_TAGS or ("role" in raw and bool(re.search(r"""role\s*=\s*["']?main\b""", raw)))
+        self.boiler = self.name in BOILER_TAGS or (self.name not in ("html", "body", "article", "main") and _marked(raw))
+
+
+def _marked(raw: str) -> bool:
+    """Whether class, id, role or visibility name boilerplate."""
     for m in _MARKS.finditer(raw):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id", "role"):
@@ -148,6 +169,9 @@ def _boiler(tag: str, raw: str, in_main: bool) -> bool:
     return False
 
 
+_tag = lru_cache(maxsize=1 << 15)(_Tag)
+
+
 def blocks(page: str | None) -> tuple[list[Block], bool]:
     """The page's text blocks in order, and whether it has an article or main element."""
     page = page or ""
@@ -176,13 +200,11 @@ def blocks(page: str | None) -> tuple[list[Block], bool]:
     while m := _TOKEN.search(page, at):
         say(page[at : m.start()])
         at, raw = m.end(), m[0]
-        named = _NAME.match(raw)
-        if not named:
-            continue  # comment or declaration
-        tag, closing = named[1].lower(), raw[1] == "/"
-        if tag in SILENT:
-            if not closing and not (raw.endswith("/>") and tag in ("svg", "math")):
-                end = re.compile(rf"</{tag}(?:[\s/][^>]*)?(?:>|\Z)", re.I).search(page, at)
+        t = _tag(raw)
+        tag, closing, block = t.name, t.closing, t.block
+        if not tag or tag in SILENT:  # comment, declaration, or what holds no text
+            if t.silent:
+                end = _END[tag].search(page, at)
                 at = end.end() if end else len(page)
             continue
         if tag == "br":
@@ -191,7 +213,6 @@ def blocks(page: str | None) -> tuple[list[Block], bool]:
         if tag == "a":
             link = not closing
             continue
-        block = tag in BLOCK
         if not block and closing and not any(t == tag for t, _, _ in open_):
             continue
         if block:
@@ -212,13 +233,13 @@ def blocks(page: str | None) -> tuple[list[Block], bool]:
             if tag in _HEADINGS:
                 heading = False
             continue
-        if tag in _VOID:
+        if t.void:
             continue
-        boiler = _boiler(tag, raw, state["main"])
+        boiler = t.boiler or (t.header and not state["main"])
         if block or boiler:
             if not block:
                 flush()
-            main = state["main"] or tag in MAIN_TAGS or ("role" in raw and bool(re.search(r"""role\s*=\s*["']?main\b""", raw)))
+            main = state["main"] or t.main
             has_main |= main
             if tag == "li" and open_ and open_[-1][0] == "li":
                 open_.pop()
@@ -238,7 +259,7 @@ def features(found: list[Block], has_main: bool) -> list[tuple]:
     none = Block("", 0, 0.0, False, False, False)
     around = [none, *found, none]
     return [
-        (b.words, b.linked, p.words, p.linked, n.words, n.linked, b.boiler, 1 if b.main else -has_main, b.heading)
+        (b.words, b.linked, p.words, p.linked, n.words, n.linked, b.boiler or (has_main and not b.main), b.main, b.heading)
         for p, b, n in zip(around, around[1:], around[2:], strict=False)
     ]
 
