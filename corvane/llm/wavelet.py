@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -34,7 +35,8 @@ BLOCK_BITS = 1 << 16
 SHARD_TOKENS = 1 << 22
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-MEMO = 250_000
+MEMO = 500_000
+PORTION = 12 << 20
 
 
 # ---- the file format
@@ -50,21 +52,24 @@ def build(ids: np.ndarray, lengths: np.ndarray, doc_ids: np.ndarray, known: np.n
     seq, zeros, parts, offsets, ranks, at = ids.astype(kind), [], [], [], [], 0
     deflate = zstandard.ZstdCompressor(level=1)
     for level in range(vocab_bits):
-        chosen = (seq & kind(1 << (vocab_bits - 1 - level))).astype(bool)
-        packed = np.packbits(chosen)
-        ones = 0
-        for k in range(0, len(packed), BLOCK_BITS // 8):
-            raw = packed[k : k + BLOCK_BITS // 8]
+        mask, ones, low, high = kind(1 << (vocab_bits - 1 - level)), 0, [], []
+        for k in range(0, n, BLOCK_BITS):  # a block at a time: what is shuffled stays in the cache
+            part = seq[k : k + BLOCK_BITS]
+            chosen = (part & mask) != 0
+            raw = np.packbits(chosen)
             data = deflate.compress(raw.tobytes())
             offsets.append(at)
             ranks.append(ones)
             parts.append(data)
             at += len(data)
-            ones += int(np.bitwise_count(raw).sum())
+            up = np.flatnonzero(chosen)
+            ones += len(up)
+            high.append(part.take(up))
+            low.append(part.take(np.flatnonzero(~chosen)))
         offsets.append(at)
         ranks.append(ones)
         zeros.append(n - ones)
-        seq = np.concatenate([seq[~chosen], seq[chosen]])
+        seq = np.concatenate([*low, *high]) if n else seq
     tables = [_pack(np.diff(doc_ids.astype("<i8"), prepend=0)), _pack(known.astype(np.uint8)), _pack(lengths.astype("<u4")), _pack(np.array(offsets, "<u8")), _pack(np.array(ranks, "<u8"))]
     head = json.dumps({"n": n, "bits": vocab_bits, "block_bits": BLOCK_BITS, "docs": len(lengths), "zeros": zeros, "tables": [len(t) for t in tables]}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, *tables, *parts])
@@ -158,24 +163,32 @@ class Shard:
         """All ids, from the last level up: each level's bits say which of the halves below is next."""
         seq = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in reversed(range(self.bits)):
-            packed = np.concatenate([self._raw(level, k) for k in range(self.ranks.shape[1] - 1)]) if self.n else np.zeros(0, np.uint8)
-            chosen = np.unpackbits(packed)[: self.n].view(bool)
-            up = np.empty_like(seq)
-            z = self.zeros[level]
-            up[~chosen] = seq[:z]
-            up[chosen] = seq[z:] | seq.dtype.type(1 << (self.bits - 1 - level))
+            up, bit = np.empty_like(seq), seq.dtype.type(1 << (self.bits - 1 - level))
+            low, high = 0, self.zeros[level]
+            for k in range(self.ranks.shape[1] - 1 if self.n else 0):
+                part = up[k * self.block : (k + 1) * self.block]
+                chosen = np.unpackbits(self._raw(level, k))[: len(part)].view(bool)
+                ones, zeros = np.flatnonzero(chosen), np.flatnonzero(~chosen)
+                part[zeros] = seq[low : low + len(zeros)]
+                part[ones] = seq[high : high + len(ones)] | bit
+                low, high = low + len(zeros), high + len(ones)
             seq = up
         return seq
 
 
 # ---- ids of texts
 
+_TAIL = ".,;:!?"
+#: Letters up to U+024F but for those whose lower case is not one letter or not one of them, then a tail.
+_LATIN = f"^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0239\u023c\u023f-\u0241]+[{_TAIL}]*$"
+
 
 class Ids:
     """Ids of whole texts. The tokenizer drops white space and joins nothing across it, so words are encoded once and remembered.
 
-    A word of letters with a tail of .,;:!? falls apart between them, and ASCII letters count as lower case: such words share
-    what is remembered.
+    A word of Latin letters with a tail of .,;:!? falls apart between them, and its letters count as lower case: such words share
+    what is remembered. The letters alone are one unit of the tokenizer, whose last id carries the mark of a word's end: many of
+    them are encoded as one text and told apart by that mark.
     """
 
     def __init__(self, path: str):
@@ -187,42 +200,65 @@ class Ids:
         self.older: dict[str, bytes] = {}
         self.bits = max(1, (self.t.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.kind = "<u2" if self.bits <= 16 else "<u4"
+        self.last = np.zeros(1 << self.bits, bool)
+        self.last[[i for p, i in self.t.get_vocab(with_added_tokens=False).items() if p.endswith("</w>")]] = True
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.memo) >= MEMO:
-            self.older, self.memo = self.memo, {}
-        split, parts = [], {}
-        for w in words:
-            if w in self.older:
-                self.memo[w] = self.older[w]
-                continue
-            core = w.rstrip(".,;:!?")
-            if core.isalpha() and core.isascii():
-                core = core.lower()
-                tail = w[len(core) :]
-            else:
-                core, tail = w, ""
-            split.append((w, core, tail))
-            for p in (core, tail):
-                if p not in self.memo:
-                    parts[p] = self.older.get(p)
-        new = [p for p, ids in parts.items() if ids is None]
-        for p, e in zip(new, self.t.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            parts[p] = np.array(e.ids, self.kind).tobytes()
-        self.memo.update(parts)
-        for w, core, tail in split:
-            self.memo[w] = self.memo[core] + self.memo[tail]
-
-    def of(self, texts: list[str | None]) -> list[bytes]:
+    def _encode(self, letters: list[str], others: list[str]) -> list[bytes]:
         out = []
-        for t in texts:
-            words = (t or "").replace("\n", " ").split(" ")
-            found = list(map(self.memo.get, words))
-            if None in found:
-                self._learn(list({w for w, x in zip(words, found, strict=True) if x is None}))
-                found = [x if x is not None else self.memo[w] for w, x in zip(words, found, strict=True)]
-            out.append(b"".join(found))
-        return out
+        if letters:
+            ids = np.array(self.t.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(letters) or ends[-1] != len(ids):  # a vocabulary without such marks
+                others, letters = letters + others, []
+            else:
+                raw, width = ids.tobytes(), ids.itemsize
+                ends = (ends * width).tolist()
+                out = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out + [np.array(e.ids, self.kind).tobytes() for e in self.t.encode_batch_fast(others, add_special_tokens=False)]
+
+    def _found(self, units: pa.Array, letters: bool) -> list[bytes]:
+        """Ids of units, from memory or else encoded: letters alone, or anything."""
+        names = units.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.memo.get, names))
+        if None in found:
+            new = []
+            for k, ids in enumerate(found):
+                if ids is None:
+                    found[k] = self.older.get(names[k])
+                    if found[k] is None:
+                        new.append(k)
+            fresh = [names[k] for k in new]
+            for k, ids in zip(new, self._encode(fresh, []) if letters else self._encode([], fresh), strict=True):
+                found[k] = ids
+            if len(self.memo) >= MEMO:  # what was met since the last time stays at hand
+                self.older, self.memo = self.memo, {}
+            self.memo.update(zip(names, found, strict=True))
+        return found
+
+    def of(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by the end id, and their numbers by text. Every distinct unit is looked up once."""
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        latin = pc.match_substring_regex(words.dictionary, _LATIN)
+        whole = words.dictionary.filter(latin)
+        cores = pc.utf8_lower(pc.utf8_rtrim(whole, _TAIL)).dictionary_encode()
+        tails = pc.replace_substring_regex(whole, f"^[^{_TAIL}]+", "").dictionary_encode()
+        others = words.dictionary.filter(pc.invert(latin))
+        found = [*self._found(cores.dictionary, True), *self._found(tails.dictionary, False), *self._found(others, False), b""]
+        # a word is two units of the pool: letters and tail, or itself and nothing
+        n_cores, n_tails, is_latin = len(cores.dictionary), len(tails.dictionary), latin.to_numpy(zero_copy_only=False)
+        units = np.full((len(is_latin), 2), len(found) - 1, np.int64)
+        units[is_latin, 0], units[is_latin, 1] = cores.indices.to_numpy(), n_cores + tails.indices.to_numpy()
+        units[~is_latin, 0] = n_cores + n_tails + np.arange(len(others))
+        pool = np.frombuffer(b"".join(found), self.kind)
+        size = np.array(list(map(len, found)), np.int64) // np.dtype(self.kind).itemsize
+        begin = np.cumsum(size) - size
+        which = units[words.indices.to_numpy()].ravel()
+        lens = size[which]
+        stop = np.cumsum(lens)
+        ids = pool[np.repeat(begin[which] - stop + lens, lens) + np.arange(stop[-1] if len(stop) else 0)]
+        ends = np.concatenate([[0], stop[1::2]])[lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()]
+        return np.insert(ids, ends, end), np.diff(ends, prepend=0) + 1
 
 
 _ids: dict[str, Ids] = {}
@@ -247,6 +283,16 @@ def _fs(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def _portions(batch: pa.RecordBatch):
+    """Rows of about PORTION bytes of text together."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + PORTION, side="right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Write shard files into folder (a URI that all executors reach); returns the manifest: task, part, path, n_tokens, n_docs."""
     spark = docs.sparkSession
@@ -256,15 +302,13 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_i
     def run(batches):
         enc = ids_of(tokenizer_path)
         task, part = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], enc.kind).tobytes()
-        width = np.dtype(enc.kind).itemsize
-        held, docs_held, size = [], [], 0
+        held, size = [], 0
 
         def flush():
-            nonlocal held, docs_held, size, part
-            lengths = np.array([len(x) // width for x in held], np.int64)
-            known = np.array([d is not None for d in docs_held], bool)
-            data = build(np.frombuffer(b"".join(held), enc.kind), lengths, np.array([d or 0 for d in docs_held], np.int64), known, enc.bits)
+            nonlocal held, size, part
+            ids, lengths, docs_held = (np.concatenate(x) for x in zip(*((i, n, d.fill_null(0).to_numpy()) for i, n, d in held), strict=True))
+            known = np.concatenate([d.is_valid().to_numpy(zero_copy_only=False) for _, _, d in held])
+            data = build(ids, lengths, docs_held, known, enc.bits)
             name = f"shard-{task:06d}-{part:06d}.wvm"
             fs, at = _fs(folder)
             fs.create_dir(at, recursive=True)
@@ -273,18 +317,16 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_i
                 out.write(data)
             fs.move(own, f"{at}/{name}")  # whole or not at all
             row = pa.RecordBatch.from_arrays([pa.array([task]), pa.array([part]), pa.array([f"{folder}/{name}"]), pa.array([int(lengths.sum())]), pa.array([len(lengths)])], ["task", "part", "path", "n_tokens", "n_docs"])
-            held, docs_held, size, part = [], [], 0, part + 1
+            held, size, part = [], 0, part + 1
             return row
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                piece = batch.slice(k, 256)
-                for d, x in zip(piece.column(0).to_pylist(), enc.of(piece.column(1).to_pylist()), strict=True):
-                    held.append(x + end)
-                    docs_held.append(d)
-                    size += len(held[-1]) // width
-                    if size >= shard_tokens:
-                        yield flush()
+            for piece in _portions(batch):
+                ids, lengths = enc.of(piece.column(1), end_id)
+                held.append((ids, lengths, piece.column(0)))
+                size += len(ids)
+                if size >= shard_tokens:
+                    yield flush()
         if held:
             yield flush()
 
