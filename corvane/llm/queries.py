@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common as C
-from . import html, jaccard, maglev, mixing, neardup, quality, toxicity, viterbi, warc, wavelet
+from . import html, jaccard, maglev, mixing, neardup, oracles, quality, toxicity, viterbi, warc, wavelet
 
 
 def op1_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +26,8 @@ def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.verdicts(C.table(spark, sf_dir, "documents"))
+    found = quality.verdicts(C.table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "common_distance")})
 
 
 def op6_hash_threshold_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +66,4 @@ QUERIES = {
         op10_streaming_viterbi,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op6_hash_threshold_mixing": mixing.ORACLE}
+ORACLE_SQL = oracles.ORACLE_SQL
