@@ -234,4 +234,5 @@ def keep(docs: DataFrame, chain: Chain) -> DataFrame:
             if batch.num_rows:
                 yield batch.filter(pa.array(_scored(chain, batch.column(at)).max(axis=1) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # any names pass, dots too
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
