@@ -66,11 +66,19 @@ def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def similar_titles(df: DataFrame, key: str, title: str, threshold: float = 0.9, least: int = 12) -> DataFrame:
-    """a < b, ratio of normalised titles that are alike. Only titles that share a word or their first letters are compared."""
+    """a < b, ratio of normalised titles that are alike.
+
+    Compared are titles that share one of their three rarest words or their first ten letters: common words would pair everything with
+    everything. Lengths and edit distance sort out most pairs before the ratio is computed.
+    """
     t = df.select(F.col(key).alias("k"), X.normalize_title(title).alias("t")).where((F.length("t") >= least) & ~F.col("t").rlike(r"^chapter \d+$"))
-    marks = F.array_distinct(F.concat(F.split("t", " "), F.array(F.concat(F.lit("^"), F.substring("t", 1, 4)))))
-    keyed = t.select("k", "t", F.explode(marks).alias("w"))
-    pairs = keyed.select(F.col("k").alias("a"), F.col("t").alias("ta"), "w").join(keyed.select(F.col("k").alias("b"), F.col("t").alias("tb"), "w"), "w").where("a < b").select("a", "b", "ta", "tb").distinct()
+    words = t.select("k", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
+    often = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("k", "t").orderBy("n", "w"))
+    rare = words.join(often, "w").withColumn("r", rank).where("r <= 3").select("k", "t", "w")
+    keyed = rare.unionByName(t.select("k", "t", F.concat(F.lit("^"), F.substring("t", 1, 10)).alias("w")))
+    far = lambda a, b: F.abs(F.length(a) - F.length(b)) > (1 - threshold) * (F.length(a) + F.length(b))
+    pairs = keyed.select(F.col("k").alias("a"), F.col("t").alias("ta"), "w").join(keyed.select(F.col("k").alias("b"), F.col("t").alias("tb"), "w"), "w").where(F.col("a") < F.col("b")).where(~far("ta", "tb")).select("a", "b", "ta", "tb").distinct()
     near = pairs.where(F.levenshtein("ta", "tb") <= (1 - threshold) * (F.length("ta") + F.length("tb")))  # a ratio r leaves at most (1 - r)(m + n) letters to edit
     return near.withColumn("ratio", title_ratio("ta", "tb")).where(F.col("ratio") >= threshold).select("a", "b", "ratio")
 

@@ -110,7 +110,7 @@ def j11_exclude_earlier_runs(spark, d):
 
 @query("WITH a AS (SELECT o_custkey, o_orderstatus, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY ALL) SELECT c_custkey, c_mktsegment, max(CASE WHEN o_orderstatus = 'F' THEN n END) AS f, max(CASE WHEN o_orderstatus = 'O' THEN n END) AS o, max(CASE WHEN o_orderstatus = 'P' THEN n END) AS p FROM customer LEFT JOIN a ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment")
 def j12_pivot_joined_back(spark, d):
-    wide = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(ONE))
+    wide = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("o_orderstatus"))
     return table(spark, d, "customer").select("c_custkey", "c_mktsegment").join(wide, "c_custkey", "left").select("c_custkey", "c_mktsegment", F.col("F").alias("f"), F.col("O").alias("o"), F.col("P").alias("p"))
 
 

@@ -434,9 +434,9 @@ def p26_rows_from_units(spark, d):
 
 @query("WITH " + PAIRS + " SELECT qa_id, CASE WHEN conv_id % 13 = 0 THEN 'error' WHEN len(answer) % 3 = 0 THEN 'not_equivalent' WHEN qa_id % 5 = 0 THEN 'banned_phrase' WHEN conv_id % 7 = 0 THEN 'same_wording' ELSE 'kept' END AS outcome FROM pairs")
 def p27_keep_or_drop(spark, d):
-    para = F.when(F.col("qa_id") % 5 == 0, F.concat(F.lit("What does the evidence say: "), "question")).when(F.col("conv_id") % 7 == 0, F.upper("question")).otherwise(F.concat(F.lit("Tell me: "), "question"))
+    para = F.when(F.col("qa_id") % 5 == 0, F.concat(F.lit("What does the evidence say: "), "question")).when(F.col("conv_id") % 7 == 0, F.concat(F.lit(" "), "question", F.lit(" "))).otherwise(F.concat(F.lit("Tell me: "), "question"))
     p = pairs(spark, d).withColumn("para", para)
-    out = F.when(F.col("conv_id") % 13 == 0, "error").when(F.length("answer") % 3 == 0, "not_equivalent").when(scoring.banned("para").isNotNull() & (F.col("qa_id") % 5 == 0), "banned_phrase").when(F.lower(F.trim("para")) == F.lower("question"), "same_wording").otherwise("kept")
+    out = F.when(F.col("conv_id") % 13 == 0, "error").when(F.length("answer") % 3 == 0, "not_equivalent").when(scoring.banned("para").isNotNull() & (F.col("qa_id") % 5 == 0), "banned_phrase").when(F.lower(F.trim("para")) == F.lower(F.trim("question")), "same_wording").otherwise("kept")
     return p.select("qa_id", out.alias("outcome"))
 
 
