@@ -76,3 +76,12 @@ def test_mining_cascade(spark):
     df = spark.createDataFrame(rows, "e boolean, t boolean, n int, d double, s double")
     got = [r.m for r in df.select(scoring.mining_reason(F.col("e"), F.col("t"), "n", "d", "s").alias("m")).collect()]
     assert got == ["excluded_doc", "appendix_or_table", "too_short", "low_density", "off_topic", ""]
+
+
+def test_factored_patterns_find_the_same():
+    import re
+
+    text = "We found evidence that models must be GDPR ready, i.e., policies should lead to results; 45% mean (p < .05) because it is essential to [see] frameworks."
+    for rx, _, _ in scoring.SIGNALS.values():
+        assert [m.span() for m in re.finditer(scoring.factored(rx), text)] == [m.span() for m in re.finditer(rx, text)]
+    assert scoring.alternatives(r"a(b|c)|[|x]|\|d") == ["a(b|c)", "[|x]", r"\|d"]
