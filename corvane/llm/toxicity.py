@@ -35,7 +35,7 @@ MIN_Z = 4.5
 STEM = 5
 THRESHOLD = 0.5
 PENALTY = 2e-4
-MEMO = 400_000
+MEMO = 100_000
 _OUTER = ".,;:!?\"'()[]{}*#$%&|<>-_/\\"
 
 
