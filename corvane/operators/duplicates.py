@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import difflib
+import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BinaryType, DoubleType
 
 from ..functions import text as X
 
@@ -65,22 +67,96 @@ def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
+TITLE_TILE = 4096  # titles of a tile
+_BITS = 255  # of a title's bitmap, so that a distance fits a byte
+
+
+@F.pandas_udf(BinaryType())
+def title_bits(titles: pd.Series) -> pd.Series:
+    """Bitmap of a title's letter pairs; the first, second ... occurrence of a pair are different members."""
+    places: dict[str, int] = {}
+
+    def bits(t: str) -> bytes:
+        seen: dict[str, int] = {}
+        out = 0
+        for k in range(len(t) - 1):
+            pair = t[k : k + 2]
+            seen[pair] = seen.get(pair, 0) + 1
+            token = f"{pair}{seen[pair]}"
+            if token not in places:
+                places[token] = zlib.crc32(token.encode()) % _BITS
+            out |= 1 << places[token]
+        return out.to_bytes(32, "little")
+
+    return titles.map(bits)
+
+
+def title_candidates(titles: DataFrame, threshold: float) -> DataFrame:
+    """ta, tb: pairs of the distinct titles t, among them every pair whose ratio is at the threshold or above, in one order or the other.
+
+    Matching blocks are a common subsequence, so a ratio r leaves at most (1 - r)(m + n) letters to insert or delete. One such edit
+    changes three letter pairs at most, and each differing bit of two bitmaps stands for a differing pair: no such pair of titles has
+    lengths further apart than that, or bitmaps further apart than three times that. Tiles of titles of like length are compared whole.
+    """
+    spark = titles.sparkSession
+    spans: list[list[int]] = []  # least and greatest length, rows
+    for n, c in sorted(map(tuple, titles.groupBy(F.length("t")).count().collect())):
+        if spans and spans[-1][2] + c <= TITLE_TILE:
+            spans[-1][1:] = [n, spans[-1][2] + c]
+        else:
+            spans.append([n, n, c])
+    first, placed = 0, []
+    for lo, hi, rows in spans:
+        parts = -(-rows // TITLE_TILE)
+        placed.append((first, parts, lo, hi))
+        first += parts
+    spans_df = spark.createDataFrame(placed, "first int, parts int, lo int, hi int")
+    tiles = spans_df.select(F.explode(F.expr("sequence(first, first + parts - 1)")).alias("tile"), "lo", "hi")
+    near = (F.col("lo_j") - F.col("hi_i")) <= (1 - threshold) * (F.col("lo_j") + F.col("hi_i")) + 1e-6
+    pairs = tiles.select(F.col("tile").alias("i"), F.col("hi").alias("hi_i")).join(tiles.select(F.col("tile").alias("j"), F.col("lo").alias("lo_j")), F.expr("i <= j") & near)
+    sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
+    at = F.col("first") + F.pmod(F.xxhash64("t"), F.col("parts")).cast("int")
+    spread = titles.join(spans_df, F.length("t").between(F.col("lo"), F.col("hi"))).select("t", at.alias("tile"), title_bits("t").alias("bits"))
+
+    def compare(key, pdf):
+        pdf = pdf.assign(n=pdf["t"].str.len()).sort_values("n", kind="stable")
+        l, r = (pdf[pdf["tile"] == k] for k in key)
+        words = lambda x: np.frombuffer(b"".join(x["bits"]), np.uint64).reshape(-1, 4)
+        lw, rw, ln, rn, lt, rt = words(l), words(r), l["n"].to_numpy(), r["n"].to_numpy(), l["t"].to_numpy(), r["t"].to_numpy()
+        left, right = [], []
+        for s in range(0, len(lw) if len(rw) else 0, 128):
+            apart = np.bitwise_count(lw[s : s + 128, None, 0] ^ rw[None, :, 0])
+            for k in (1, 2, 3):
+                apart += np.bitwise_count(lw[s : s + 128, None, k] ^ rw[None, :, k])
+            edits = (1 - threshold) * (ln[s : s + 128].max() + rn) + 1e-6
+            x, y = np.nonzero(apart <= np.minimum(3 * edits, _BITS).astype(np.uint8))
+            x += s
+            keep = np.abs(ln[x] - rn[y]) <= (1 - threshold) * (ln[x] + rn[y]) + 1e-6
+            if key[0] == key[1]:
+                keep &= x < y
+            left.append(lt[x[keep]])
+            right.append(rt[y[keep]])
+        return pd.DataFrame({"ta": np.concatenate(left) if left else [], "tb": np.concatenate(right) if right else []}, dtype=object)
+
+    return spread.join(sides, "tile").groupBy("i", "j").applyInPandas(compare, "ta string, tb string")
+
+
 def similar_titles(df: DataFrame, key: str, title: str, threshold: float = 0.9, least: int = 12) -> DataFrame:
-    """a < b, ratio of normalised titles that are alike.
+    """a < b, ratio of normalised titles that are alike: all pairs with a ratio at the threshold or above.
 
-    Compared are titles that share one of their three rarest words or their first ten letters: common words would pair everything with
-    everything. Lengths and edit distance sort out most pairs before the ratio is computed.
+    Distinct titles are compared once; lengths, letter pairs and edit distance sort out pairs that cannot reach the threshold before the
+    ratio is computed. The ratio depends on the order of the titles, so both are computed.
     """
-    t = df.select(F.col(key).alias("k"), X.normalize_title(title).alias("t")).where((F.length("t") >= least) & ~F.col("t").rlike(r"^chapter \d+$"))
-    words = t.select("k", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
-    often = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("k", "t").orderBy("n", "w"))
-    rare = words.join(often, "w").withColumn("r", rank).where("r <= 3").select("k", "t", "w")
-    keyed = rare.unionByName(t.select("k", "t", F.concat(F.lit("^"), F.substring("t", 1, 10)).alias("w")))
-    far = lambda a, b: F.abs(F.length(a) - F.length(b)) > (1 - threshold) * (F.length(a) + F.length(b))
-    pairs = keyed.select(F.col("k").alias("a"), F.col("t").alias("ta"), "w").join(keyed.select(F.col("k").alias("b"), F.col("t").alias("tb"), "w"), "w").where(F.col("a") < F.col("b")).where(~far("ta", "tb")).select("a", "b", "ta", "tb").distinct()
-    near = pairs.where(F.levenshtein("ta", "tb") <= (1 - threshold) * (F.length("ta") + F.length("tb")))  # a ratio r leaves at most (1 - r)(m + n) letters to edit
-    return near.withColumn("ratio", title_ratio("ta", "tb")).where(F.col("ratio") >= threshold).select("a", "b", "ratio")
+    t = df.select(F.col(key).alias("k"), X.normalize_title(title).alias("t")).where((F.length("t") >= least) & ~F.col("t").rlike(r"^chapter \d+$")).distinct()
+    edits = (1 - threshold) * (F.length("ta") + F.length("tb")) + 1e-6  # a ratio r leaves at most (1 - r)(m + n) letters to edit
+    near = title_candidates(t.select("t").distinct(), threshold).where(F.levenshtein("ta", "tb") <= edits)
+    spread = near.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but slow to compare
+    alike = spread.withColumn("ab", title_ratio("ta", "tb")).withColumn("ba", title_ratio("tb", "ta")).where(F.greatest("ab", "ba") >= threshold)
+    l, r = t.select(F.col("k").alias("ka"), F.col("t").alias("ta")), t.select(F.col("k").alias("kb"), F.col("t").alias("tb"))
+    keyed = alike.join(l, "ta").join(r, "tb").where("ka <> kb")
+    others = keyed.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.when(F.expr("ka < kb"), F.col("ab")).otherwise(F.col("ba")).alias("ratio")).where(F.col("ratio") >= threshold)
+    same = l.join(r, F.expr("ta = tb and ka < kb")).select(F.col("ka").alias("a"), F.col("kb").alias("b"), F.lit(1.0).alias("ratio"))
+    return same.unionByName(others)
 
 
 def dot(a, b) -> Column:

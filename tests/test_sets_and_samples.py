@@ -36,6 +36,30 @@ def test_similar_titles(spark):
     assert [(r.a, r.b) for r in D.similar_titles(df, "id", "t").collect()] == [(1, 2)]
 
 
+def test_similar_titles_are_those_of_all_pairs(spark, monkeypatch):
+    import difflib
+    import random
+
+    draw = random.Random(5)
+    titles = ["introductiom to machine learming methods for young studemts", "imtroduction to machine learning methods for young students", "abcdefghijklmnopqr", "abcdefghijklmnopqrstuv", "chapter 12", "short"]
+    for _ in range(40):
+        base = [draw.choice("abcdeilnorst ") for _ in range(draw.randint(14, 60))]
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(draw.randint(0, 6)):
+                copy[draw.randrange(len(copy))] = draw.choice(["", "x", "e", "th"])
+            titles.append(" ".join("".join(copy).split()))
+    titles += titles[:2]  # equal titles
+    df = spark.createDataFrame(list(enumerate(titles)), "id int, t string")
+    norm = {r.id: r.t for r in df.select("id", D.X.normalize_title("t").alias("t")).collect()}
+    ok = [k for k in sorted(norm) if len(norm[k]) >= 12]
+    want = {(a, b): x for a in ok for b in ok if a < b and (x := difflib.SequenceMatcher(None, norm[a], norm[b]).ratio()) >= 0.9}
+    assert (0, 1) in want and (2, 3) in want and len(want) > 40
+    for tile in (4096, 7):
+        monkeypatch.setattr(D, "TITLE_TILE", tile)
+        assert {(r.a, r.b): r.ratio for r in D.similar_titles(df, "id", "t").collect()} == want
+
+
 def test_containing_short_and_long_spans(spark):
     spans = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta"), (2, "beta gamma"), (3, "not there at all in any of them"), (4, None)], "s int, span string")
     texts = spark.createDataFrame([(10, "x alpha  beta gamma\ndelta epsilon zeta eta y"), (11, "prealpha beta gamma delta epsilon zeta etapost"), (12, None)], "k int, t string")
