@@ -376,6 +376,14 @@ def s08_document_files(spark, d):
     return FS.read_documents(spark, at, "doc_id long, blocks array<struct<text: string>>").select("doc_id", "ord", "text")
 
 
+@query("WITH " + LINES + " SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS INTEGER) AS ord, text FROM lines")
+def s08_all_document_files(spark, d):
+    at = scratch(spark, "docs")
+    docs = lines(spark, d).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: F.struct(x["text"].alias("text"))).alias("blocks"))
+    docs.write.json(at)  # several documents per file
+    return FS.read_documents(spark, at, "doc_id long, blocks array<struct<text: string>>", by_line=True).select("doc_id", "ord", "text")
+
+
 @query("SELECT CAST(vec_id AS VARCHAR) AS id, len(embedding) AS dim FROM embeddings")
 def s09_vectors(spark, d):
     at = scratch(spark, "vectors")

@@ -38,9 +38,9 @@ def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
 
 
-def read_documents(spark: SparkSession, path: str, schema: str, nested: str = "blocks") -> DataFrame:
-    """One JSON file per document with an array of nested rows: a row per nested one with its ordinal."""
-    docs = spark.read.schema(schema).option("multiLine", True).json(path)
+def read_documents(spark: SparkSession, path: str, schema: str, nested: str = "blocks", by_line: bool = False) -> DataFrame:
+    """One JSON file per document (by_line: or a line per document) with an array of nested rows: a row per nested one with its ordinal."""
+    docs = spark.read.schema(schema).option("multiLine", not by_line).json(path)
     rest = [c for c in docs.columns if c != nested]
     return docs.select(*rest, F.posexplode(nested).alias("ord", "_b")).select(*rest, "ord", "_b.*")
 
