@@ -469,6 +469,13 @@ def t04_alarm_hysteresis(spark, d):
     return h.select("user_id", "at.event_id", "state")
 
 
+@query("WITH c AS (SELECT user_id, ts, event_id, value >= 30 AS hi, value < 5 AS lo FROM events), b AS (SELECT *, sum(CASE WHEN hi THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS isl FROM c), r AS (SELECT *, sum(CASE WHEN hi THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, isl ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM b), s AS (SELECT user_id, event_id, ts, CASE WHEN hi AND run >= 2 THEN 'PAUSE' WHEN lo THEN 'RESUME' END AS state FROM r), k AS (SELECT *, lag(state, 1, 'RESUME') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM s WHERE state IS NOT NULL) SELECT user_id, event_id, state FROM k WHERE state <> before")
+def t04_alarms_of_all_users(spark, d):
+    e = table(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
+    h = T.alarm_history(e.select("user_id", "at", "value"), "user_id", "at", "value", 30.0, 5.0, 2)
+    return h.select("user_id", "at.event_id", "state")
+
+
 @query("SELECT user_id, max(value) AS top, CAST(count(*) FILTER (value > 100) AS BIGINT) AS n_high FROM events GROUP BY user_id")
 def t05_event_log_summary(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.max("value").alias("top"), F.count_if(F.col("value") > 100).alias("n_high"))

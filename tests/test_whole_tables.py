@@ -8,6 +8,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import __spark_entry__ as entry
+from corvane.streaming.logs import next_state
 
 DATA = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
@@ -17,3 +18,15 @@ def test_all_document_files(spark):
     got = entry.registry.queries()["s08_all_document_files"](spark, DATA).select("doc_id").distinct()
     want = spark.read.parquet(f"{DATA}/documents.parquet").where(r"text rlike '[^ \\n]'").select("doc_id")
     assert want.where("doc_id >= 20").count() > 0 and want.exceptAll(got).count() == 0
+
+
+def test_alarms_of_all_users(spark):
+    events = spark.read.parquet(f"{DATA}/events.parquet").toPandas().sort_values(["user_id", "ts", "event_id"])
+    want, state = set(), {}
+    for r in events.itertuples():
+        run, paused = state.get(r.user_id, (0, False))
+        run, paused, event = next_state(run, paused, r.value, 30.0, 5.0, 2)
+        state[r.user_id] = run, paused
+        want |= {(r.user_id, r.event_id, event)} if event else set()
+    assert any(user >= 20 for user, _, _ in want)
+    assert set(map(tuple, entry.registry.queries()["t04_alarms_of_all_users"](spark, DATA).collect())) == want
