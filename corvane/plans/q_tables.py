@@ -425,6 +425,15 @@ def w09_holm(spark, d):
     return S.holm(t, "p", ["c_mktsegment"], ["c_custkey"]).select("c_custkey", F.round("p_holm", 9).alias("p_holm"))
 
 
+HOLM_ALL_SQL = "t AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE (c_custkey % 50) / 1000.0::DOUBLE END AS p FROM customer)"
+
+
+@query("WITH " + HOLM_ALL_SQL + ", k AS (SELECT *, count(p) OVER (PARTITION BY c_mktsegment) AS m, row_number() OVER (PARTITION BY c_mktsegment, p IS NULL ORDER BY p, c_custkey) AS r FROM t) SELECT c_custkey, round(CASE WHEN p IS NOT NULL THEN max(least(1.0, (m - r + 1) * p)) OVER (PARTITION BY c_mktsegment, p IS NULL ORDER BY r) END, 9) AS p_holm FROM k")
+def w09_holm_whole_families(spark, d):
+    t = table(spark, d, "customer").select("c_custkey", "c_mktsegment", F.when(F.col("c_custkey") % 7 != 0, (F.col("c_custkey") % 50) / 1000.0).alias("p"))
+    return S.holm(t, "p", ["c_mktsegment"], ["c_custkey"]).select("c_custkey", F.round("p_holm", 9).alias("p_holm"))
+
+
 @query("SELECT s_suppkey, s_acctbal = max(s_acctbal) OVER (PARTITION BY s_nationkey) AS best FROM supplier")
 def w10_best_flag(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") == F.max("s_acctbal").over(Window.partitionBy("s_nationkey"))).alias("best"))

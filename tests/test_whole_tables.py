@@ -30,3 +30,18 @@ def test_alarms_of_all_users(spark):
         want |= {(r.user_id, r.event_id, event)} if event else set()
     assert any(user >= 20 for user, _, _ in want)
     assert set(map(tuple, entry.registry.queries()["t04_alarms_of_all_users"](spark, DATA).collect())) == want
+
+
+def test_holm_whole_families(spark):
+    families = {}
+    for r in spark.read.parquet(f"{DATA}/customer.parquet").select("c_custkey", "c_mktsegment").collect():
+        families.setdefault(r.c_mktsegment, []).append((r.c_custkey % 50 / 1000, r.c_custkey))
+    want = {}
+    for family in families.values():
+        want |= {k: None for _, k in family if k % 7 == 0}
+        tests, high = sorted(x for x in family if x[1] % 7), 0.0
+        for i, (p, k) in enumerate(tests):
+            high = max(high, min(1.0, (len(tests) - i) * p))
+            want[k] = high
+    got = {r.c_custkey: r.p_holm for r in entry.registry.queries()["w09_holm_whole_families"](spark, DATA).collect()}
+    assert len(want) > 200 and got == pytest.approx(want, abs=1e-8)
