@@ -462,6 +462,12 @@ def o01_category_order(spark, d):
     return table(spark, d, "orders").orderBy(rank[F.col("o_orderstatus")], "o_orderpriority", "o_orderkey").limit(100).select("o_orderkey", "o_orderpriority")
 
 
+@query("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderpriority, o_orderkey")
+def o01_category_order_of_all(spark, d):
+    rank = F.create_map(*[F.lit(x) for kv in (("P", 0), ("O", 1), ("F", 2)) for x in kv])
+    return table(spark, d, "orders").orderBy(rank[F.col("o_orderstatus")], "o_orderpriority", "o_orderkey").select("o_orderkey", "o_orderpriority")
+
+
 @query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 50")
 def o03_prefix(spark, d):
     return table(spark, d, "documents").select("doc_id").orderBy("doc_id").limit(50)

@@ -45,3 +45,10 @@ def test_holm_whole_families(spark):
             want[k] = high
     got = {r.c_custkey: r.p_holm for r in entry.registry.queries()["w09_holm_whole_families"](spark, DATA).collect()}
     assert len(want) > 200 and got == pytest.approx(want, abs=1e-8)
+
+
+def test_category_order_of_all(spark):
+    orders = spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderstatus", "o_orderpriority", "o_orderkey").collect()
+    want = [(k, p) for _, p, k in sorted(("POF".index(s), p, k) for s, p, k in orders)]
+    assert {s for s, _, _ in orders} == set("POF")
+    assert list(map(tuple, entry.registry.queries()["o01_category_order_of_all"](spark, DATA).collect())) == want
