@@ -2,7 +2,7 @@
 
 A page is cut into blocks at block-level tags. A block has its word count and link density (share of words inside links), those
 of the blocks before and after it, and marks: inside a part that its tag, role, class or id names as a menu, header, footer,
-sidebar, notice, advert, form or reader comments, or outside the article or main element of a page that has one (aside); inside
+sidebar, notice, advert, form or reader comments (a half if only a part of a compound name does), or outside the article or main element of a page that has one (aside); inside
 such an element; a heading. The tree is
 trained on the labelled table LABELLED when a worker starts.
 
@@ -42,6 +42,12 @@ BOILER_MARKS = set(
     "social comment comments reply replies disqus respond nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar header masthead topbar footer foot "
     "copyright legal disclaimer search form contentinfo complementary alertdialog dialog hidden".split()
 )
+#: Say what a part is for or where it stands; with one of BOILER_MARKS they name boilerplate as that does alone.
+_PLAIN = set("list item items posts buttons links box area section wrapper wrap container block inner content site page main global text form".split())
+#: "has-sidebar" and the like speak of the layout.
+_LAYOUT = {"has", "no", "with", "without", "not"}
+#: How surely a tag is boilerplate: an article element inside clears a WEAK mark, a main element a NAMED one too, nothing a FIRM one.
+WEAK, NAMED, FIRM = 1, 2, 3
 MAIN_TAGS = {"article", "main"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
@@ -82,6 +88,12 @@ LABELLED = [
     (6, 0, 47, 0, 5, 0, 0, 1, 0, 1), (1, 0, 1, 0, 1, 0, 0, 1, 0, 1), (33, 0, 36, 0, 90, 0, 0, 1, 0, 1), (15, 0, 24, 0, 7, 0, 0, 1, 1, 1),
     (40, 0, 5, 0, 35, 0, 1, 0, 0, 0), (60, 0, 2, 0, 9, 0, 1, 0, 0, 0), (15, 0, 12, 0, 50, 0, 1, 0, 0, 0), (9, 0, 30, 0, 80, 0, 1, 0, 1, 0), (35, 0.2, 45, 0, 25, 0, 1, 0, 0, 0), (120, 0, 10, 0, 60, 0, 1, 0, 0, 0),
     (22, 0, 60, 0, 22, 0, 1, 0, 0, 0), (4, 0, 8, 0, 20, 0, 1, 0, 0, 0), (50, 0, 33, 0, 2, 0, 1, 0, 0, 0), (3, 0, 0, 0, 8, 1, 1, 0, 0, 0), (18, 0, 20, 0, 70, 0, 1, 0, 0, 0), (28, 0, 14, 0, 14, 0, 1, 0, 0, 0),
+    # under a name that may mean boilerplate: long blocks with few links are text
+    (60, 0, 5, 0, 50, 0, 0.5, 0, 0, 1), (45, 0, 60, 0, 8, 0, 0.5, 0, 0, 1), (90, 0.05, 3, 0, 4, 1, 0.5, 0, 0, 1), (150, 0.1, 0, 0, 0, 0, 0.5, 0, 0, 1), (35, 0.1, 2, 1, 40, 0, 0.5, 0, 0, 1), (30, 0, 8, 0, 30, 0, 0.5, 0, 0, 1),
+    (55, 0, 40, 0, 30, 0, 0.5, 1, 0, 1), (40, 0.1, 9, 0, 3, 0, 0.5, 1, 0, 1), (120, 0, 4, 0, 60, 0, 0.5, 1, 0, 1), (32, 0, 0, 0, 12, 0, 0.5, 1, 0, 1),
+    (3, 0, 4, 0, 3, 0, 0.5, 0, 0, 0), (12, 0, 60, 0, 50, 0, 0.5, 0, 0, 0), (20, 0, 3, 0, 9, 0, 0.5, 0, 0, 0), (1, 1, 2, 1, 1, 1, 0.5, 0, 0, 0), (7, 0, 9, 0, 40, 0, 0.5, 0, 1, 0), (22, 0, 30, 0, 30, 0, 0.5, 0, 0, 0),
+    (10, 0, 40, 0, 60, 0, 0.5, 1, 0, 0), (2, 0, 30, 0, 4, 0, 0.5, 1, 1, 0), (18, 0, 3, 0, 90, 0, 0.5, 1, 0, 0), (24, 0.2, 60, 0, 2, 0, 0.5, 1, 0, 0),
+    (40, 0.6, 3, 0, 5, 0, 0.5, 0, 0, 0), (60, 0.8, 30, 0, 30, 0, 0.5, 0, 0, 0), (90, 0.5, 2, 1, 40, 0, 0.5, 1, 0, 0), (45, 0.9, 60, 0, 50, 0, 0.5, 1, 0, 0),
 ]
 
 
@@ -154,19 +166,28 @@ class _Tag:
         self.silent = self.name in SILENT and not self.closing and not (self.name in ("svg", "math") and raw.endswith("/>"))
         self.header = self.name == "header"
         self.main = self.name in MAIN_TAGS or ("role" in raw and bool(re.search(r"""role\s*=\s*["']?main\b""", raw)))
-        self.boiler = self.name in BOILER_TAGS or (self.name not in ("html", "body", "article", "main") and _marked(raw))
+        self.boiler = _marked(raw) if self.name not in ("html", "body", "article", "main") else 0
+        if self.name in BOILER_TAGS:
+            self.boiler = max(self.boiler, NAMED if self.name in ("form", "fieldset") else FIRM)
 
 
-def _marked(raw: str) -> bool:
-    """Whether class, id, role or visibility name boilerplate."""
+def _marked(raw: str) -> int:
+    """How surely class, id, role or visibility name boilerplate; 0: not at all."""
+    most = 0
     for m in _MARKS.finditer(raw):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id", "role"):
-            if not BOILER_MARKS.isdisjoint(_WORDS.findall(value)):
-                return True
+            most = max([most, *map(_named, value.split())])
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            return True
-    return False
+            return FIRM
+    return most
+
+
+def _named(token: str) -> int:
+    parts = _WORDS.findall(token)
+    if BOILER_MARKS.isdisjoint(parts) or parts[0] in _LAYOUT or token == "overflow-hidden":
+        return 0
+    return NAMED if all(p in BOILER_MARKS or p in _PLAIN for p in parts) else WEAK
 
 
 _tag = lru_cache(maxsize=1 << 15)(_Tag)
@@ -176,9 +197,9 @@ def blocks(page: str | None) -> tuple[list[Block], bool]:
     """The page's text blocks in order, and whether it has an article or main element."""
     page = page or ""
     out: list[Block] = []
-    open_: list[tuple[str, bool, bool]] = []  # tag, inside boilerplate, inside the main part
+    open_: list[tuple[str, int, bool]] = []  # tag, how surely inside boilerplate, inside the main part
     pieces: list[tuple[str, bool]] = []
-    state = {"boiler": False, "main": False}
+    state = {"boiler": 0, "main": False}
     link, heading, has_main, at = False, False, False, 0
 
     def flush():
@@ -191,7 +212,7 @@ def blocks(page: str | None) -> tuple[list[Block], bool]:
             pieces.clear()
 
     def inherit():
-        _, state["boiler"], state["main"] = open_[-1] if open_ else ("", False, False)
+        _, state["boiler"], state["main"] = open_[-1] if open_ else ("", 0, False)
 
     def say(raw: str):
         if raw:
@@ -235,7 +256,7 @@ def blocks(page: str | None) -> tuple[list[Block], bool]:
             continue
         if t.void:
             continue
-        boiler = t.boiler or (t.header and not state["main"])
+        boiler = FIRM if t.header and not state["main"] else t.boiler
         if block or boiler:
             if not block:
                 flush()
@@ -244,7 +265,10 @@ def blocks(page: str | None) -> tuple[list[Block], bool]:
             if tag == "li" and open_ and open_[-1][0] == "li":
                 open_.pop()
                 inherit()
-            open_.append((tag, state["boiler"] or boiler, main))
+            around = state["boiler"]
+            if t.main and around <= (WEAK if tag == "article" else NAMED):
+                around = 0
+            open_.append((tag, max(around, boiler), main))
             inherit()
             if tag in _HEADINGS:
                 heading = True
@@ -256,10 +280,10 @@ def blocks(page: str | None) -> tuple[list[Block], bool]:
 
 
 def features(found: list[Block], has_main: bool) -> list[tuple]:
-    none = Block("", 0, 0.0, False, False, False)
+    none = Block("", 0, 0.0, 0, False, False)
     around = [none, *found, none]
     return [
-        (b.words, b.linked, p.words, p.linked, n.words, n.linked, b.boiler or (has_main and not b.main), b.main, b.heading)
+        (b.words, b.linked, p.words, p.linked, n.words, n.linked, 1 if b.boiler > WEAK or (has_main and not b.main) else b.boiler / 2, b.main, b.heading)
         for p, b, n in zip(around, around[1:], around[2:], strict=False)
     ]
 

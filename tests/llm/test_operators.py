@@ -79,6 +79,17 @@ def test_main_text_of_a_page():
     assert html.main_text(PAGE)[0] == "The title & more\nFirst bold words here. Next line <x> é.\nSecond.\none item\ntwo items"
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "overflow-hidden", "post-form", "share-enabled"])
+def test_wrapper_names_do_not_lose_the_article(name):
+    para = "word " * 40
+    inner = f"<h1>The heading</h1><p>{para}</p><p>A short one.</p><div class='sidebar'><p>{para}</p></div>"
+    for tag in ("article", "main"):
+        page = f"<body><nav class='menu'><a href=1>A</a></nav><div class='{name}'><{tag}>{inner}</{tag}></div><footer>me</footer></body>"
+        assert html.main_text(page)[0].split("\n") == ["The heading", para.strip(), "A short one."]
+    assert para.strip() in html.main_text(f"<body><div class='{name}'><p>{para}</p><p>{para}</p></div></body>")[0]
+    assert html.main_text(f"<body><div class='sidebar'><article><p>{para}</p></article></div><aside><main><p>{para}</p></main></aside></body>")[0] == ""
+
+
 def test_page_without_article_element():
     para = "This paragraph has enough plain words to be taken for the text of a page, as anyone would agree on reading it. " * 2
     page = f"<div id=top><a href=1>Home</a> <a href=2>News</a></div><div><h2>A heading here</h2><p>{para}</p><p>{para}</p></div><div class=footer>Contact us by mail or phone at any time of the day.</div>"
