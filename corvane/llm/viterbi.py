@@ -5,7 +5,8 @@ The search keeps only the positions that a piece may still reach (a window bound
 backpointers, and commits ids as soon as the backpointer paths of all of them pass through one boundary.
 
 A vocabulary none of whose pieces has a blank mark after another character forces such a boundary before every blank, so
-equal stretches between blanks have equal ids: encode() remembers them, up to twice MEMO stretches in each worker.
+equal stretches between blanks have equal ids. encode() hands every stretch to the streaming search, and remembers the ids it
+committed for stretches of up to LONGEST_MEMO characters, up to twice MEMO of them in each worker.
 
 A text starts with one blank mark of its own; characters without a piece, and the blank mark itself where a text holds it,
 become one byte piece per UTF-8 byte. decode(encode(x)) == x for every x.
@@ -30,6 +31,8 @@ BLANK = "▁"
 OWN_BLANK = "\ud800"
 MODEL = "piece_bpe_32k.model"
 MEMO = 300_000
+#: Characters that the search is handed at a time, and the longest stretch that is remembered (longer ones seldom recur).
+PORTION = 4096
 LONGEST_MEMO = 48
 _STRETCH = re.compile(f"{BLANK}+[^{BLANK}]*")
 _NEG = float("-inf")
@@ -63,89 +66,99 @@ class Vocabulary:
 
 
 class Stream:
-    """push() text, get ids as they become certain; finish() gives the rest."""
+    """push() text, get ids as they become certain; finish() gives the rest and makes ready for another text.
+
+    Between two calls only the text after the last committed boundary is held, with a score and a backpointer per position. The
+    positions that a path may still end at lie between `at` and `reach`, at most the longest piece apart.
+    """
 
     def __init__(self, vocab: Vocabulary):
         self.v = vocab
-        self.text = ""  # from the last committed boundary on
+        self.widest = 0  # most characters held when the paths were traced to their meeting point
+        self._reset()
+
+    def _reset(self) -> None:
+        self.text = ""
         self.best: list[float] = [0.0]
-        self.back: list[tuple[int, int]] = [(0, -1)]  # length of the best last piece, and its id (-1: spelt in bytes)
+        self.back: list[tuple[int, int]] = [(0, -1)]  # where the best last piece starts, and its id (-1: spelt in bytes)
         self.at = 0  # the next position to leave from
         self.reach = 0  # the furthest position that a piece reaches
-        self.widest = 0
 
-    def push(self, text: str) -> Iterator[int]:
+    def push(self, text: str) -> list[int]:
         self.text += text
-        return self._run(len(self.text) - self.v.longest)
-
-    def finish(self) -> Iterator[int]:
-        yield from self._run(len(self.text))
-        yield from self._commit(len(self.text))
-
-    def _run(self, until: int) -> Iterator[int]:
-        since = self.at
-        while self.at < until:
-            i = self.at
-            if i and self.reach == i:  # every path passes here
-                yield from self._commit(i)
-                until -= i
-                since = 0
-                continue
-            self._leave(i)
-            self.at += 1
-            if self.at - since >= 4 * self.v.longest:
-                c = self._meeting()
-                yield from self._commit(c)
-                until -= c
-                since = self.at
-
-    def _leave(self, i: int) -> None:
-        text, best, back, v = self.text, self.best, self.back, self.v
-        base, spelt = best[i], True
-        top = min(len(text), i + v.longest)
-        while len(best) <= top:
-            best.append(_NEG)
-            back.append((0, -1))
-        for j in range(i + 1, top + 1):
-            piece = text[i:j]
-            arc = v.arcs.get(piece)
-            if arc is not None:
-                if j == i + 1:
-                    spelt = False
-                if base + arc[0] > best[j]:
-                    best[j], back[j] = base + arc[0], (j - i, arc[1])
-                self.reach = max(self.reach, j)
-            if piece not in v.prefixes:
-                break
-        if spelt:
-            if base + v.fallback > best[i + 1]:
-                best[i + 1], back[i + 1] = base + v.fallback, (1, -1)
-            self.reach = max(self.reach, i + 1)
-
-    def _meeting(self) -> int:
+        out: list[int] = []
+        done = self._run(len(self.text) - self.v.longest, out)
+        if done:
+            self.text, self.best = self.text[done:], self.best[done:]
+            self.back = [(max(k - done, 0), i) for k, i in self.back[done:]]
+            self.at, self.reach = self.at - done, self.reach - done
+        return out
+
+    def finish(self) -> list[int]:
+        out: list[int] = []
+        done = self._run(len(self.text), out)
+        self._commit(done, len(self.text), out)
+        self._reset()
+        return out
+
+    def _run(self, until: int, out: list[int]) -> int:
+        """Leave every position before `until`; the last committed boundary."""
+        text, best, back, size = self.text, self.best, self.back, len(self.text)
+        steps, fallback, longest = self.v.steps, self.v.fallback, self.v.longest
+        new = size + 1 - len(best)
+        best += [_NEG] * new
+        back += [(0, -1)] * new
+        i, reach, done = self.at, self.reach, 0
+        traced = i
+        while i < until:
+            if i == reach:  # every path passes here
+                if i > done:
+                    self._commit(done, i, out)
+                    done = traced = i
+                best[i] = 0.0  # what lies behind weighs on all paths alike
+            elif i - traced >= 4 * longest:
+                meet = self._meeting(i, reach)
+                self.widest = max(self.widest, reach - done)
+                self._commit(done, max(meet, done), out)
+                done, traced = max(meet, done), i
+            base = best[i]
+            if steps.get(text[i]) is None:
+                reach = max(reach, i + 1)
+                if base + fallback > best[i + 1]:
+                    best[i + 1], back[i + 1] = base + fallback, (i, -1)
+            for j in range(i + 1, min(size, i + longest) + 1):
+                arc = steps.get(text[i:j], 0)
+                if arc:
+                    if j > reach:
+                        reach = j
+                    score = base + arc[0]
+                    if score > best[j]:
+                        best[j], back[j] = score, (i, arc[1])
+                elif arc == 0:
+                    break
+            i += 1
+        self.at, self.reach = i, reach
+        return done
+
+    def _meeting(self, at: int, reach: int) -> int:
         """The last boundary that the paths of all positions still alive share."""
-        alive = {k for k in range(self.at, self.reach + 1) if self.best[k] > _NEG}
-        self.widest = max(self.widest, self.reach)
+        alive = {k for k in range(at, reach + 1) if self.best[k] > _NEG}
         while len(alive) > 1:
             k = max(alive)
             alive.remove(k)
-            alive.add(k - self.back[k][0])
+            alive.add(self.back[k][0])
         return alive.pop() if alive else 0
 
-    def _commit(self, to: int) -> Iterator[int]:
-        path, k = [], to
-        while k > 0:
-            length, i = self.back[k]
-            k -= length
-            path.append((k, i))
-        for start, i in reversed(path):
+    def _commit(self, since: int, to: int, out: list[int]) -> None:
+        path: list[int] = []
+        while to > since:
+            start, i = self.back[to]
             if i >= 0:
-                yield i
+                path.append(i)
             else:
-                yield from self.v.spell(self.text[start])
-        if to:
-            self.text, self.best, self.back = self.text[to:], self.best[to:], self.back[to:]
-            self.at, self.reach = max(self.at - to, 0), max(self.reach - to, 0)
+                path.extend(reversed(self.v.spell(self.text[start])))
+            to = start
+        out.extend(reversed(path))
 
 
 def marked(text: str) -> str:
@@ -164,52 +177,27 @@ def encode_stream(vocab: Vocabulary, pieces_of_text: Iterable[str]) -> Iterator[
 
 class Encoder:
     def __init__(self, path: str):
+        self.path = path
         self.v = Vocabulary(path)
+        self.stream = Stream(self.v)
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _ids(self, stretch: str) -> bytes:
-        s = Stream(self.v)
-        return np.fromiter((*s.push(stretch), *s.finish()), "<u4").tobytes()
-
-    def _short(self, text: str) -> bytes:
-        """The same search over a stretch of a few windows, which ends at a boundary that all paths share."""
-        v, n = self.v, len(text)
-        steps, fallback, longest = v.steps, v.fallback, v.longest
-        best, back = [0.0] + [_NEG] * n, [(0, -1)] * (n + 1)
-        for i in range(n):
-            base = best[i]
-            if steps.get(text[i]) is None:
-                best_1 = base + fallback
-                if best_1 > best[i + 1]:
-                    best[i + 1], back[i + 1] = best_1, (i, -1)
-            for j in range(i + 1, min(n, i + longest) + 1):
-                arc = steps.get(text[i:j], 0)
-                if arc:
-                    score = base + arc[0]
-                    if score > best[j]:
-                        best[j], back[j] = score, (i, arc[1])
-                elif arc == 0:
-                    break
+    def _ids(self, text: str) -> bytes:
+        """The streaming search over a text in portions."""
+        s = self.stream
         out: list[int] = []
-        k = n
-        while k:
-            i, piece = back[k]
-            if piece >= 0:
-                out.append(piece)
-            else:
-                out.extend(reversed(v.spell(text[i])))
-            k = i
-        out.reverse()
+        for k in range(0, len(text), PORTION):
+            out += s.push(text[k : k + PORTION])
+        out += s.finish()
         return struct.pack(f"<{len(out)}I", *out)
 
     def _fresh(self, stretch: str) -> bytes:
-        if len(stretch) > LONGEST_MEMO:
-            return self._ids(stretch)
-        ids = self.older.get(stretch) or self._short(stretch)
-        if len(self.memo) >= MEMO:  # the stretches met since the last time stay at hand
-            self.older, self.memo = self.memo, {}
-        self.memo[stretch] = ids
+        ids = self.older.get(stretch) or self._ids(stretch)
+        if len(stretch) <= LONGEST_MEMO:
+            if len(self.memo) >= MEMO:  # the stretches met since the last time stay at hand
+                self.older, self.memo = self.memo, {}
+            self.memo[stretch] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
@@ -219,9 +207,13 @@ class Encoder:
         whole = marked(text)
         if not self.v.splits_at_blanks:
             return self._ids(whole)
-        out = []
+        memo, out = self.memo.get, []
         for s in _STRETCH.findall(whole):
-            out.append(self.memo.get(s) or self._fresh(s))
+            ids = memo(s)
+            if ids is None:
+                ids = self._fresh(s)
+                memo = self.memo.get  # another one if the memory was turned over
+            out.append(ids)
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
