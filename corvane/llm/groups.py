@@ -8,21 +8,25 @@ import numpy as np
 import pyarrow as pa
 
 
-def by_key(batches, key: str = "key") -> Iterator[pa.RecordBatch]:
-    """Input: record batches of a partition sorted by key (long). Yields one batch or table per key; groups may span batches."""
+def by_key(batches, *keys: str) -> Iterator[pa.RecordBatch]:
+    """Input: record batches of a partition sorted by the keys (long; "key" if none is named). Yields one batch or table per key; groups may span batches."""
+    keys = keys or ("key",)
     held: list[pa.RecordBatch] = []
     held_key = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            part = batch.slice(a, b - a)
-            if held and keys[a] != held_key:
+            part, key = batch.slice(a, b - a), tuple(int(c[a]) for c in columns)
+            if held and key != held_key:
                 yield held[0] if len(held) == 1 else pa.Table.from_batches(held)
                 held = []
-            held_key = keys[a]
+            held_key = key
             held.append(part)
     if held:
         yield held[0] if len(held) == 1 else pa.Table.from_batches(held)

@@ -392,6 +392,45 @@ def test_jaccard_on_groups_larger_than_a_leaf_or_a_tile(spark, monkeypatch):
     assert got == brute_classes(rows)
 
 
+def test_texts_that_share_a_doc_id_are_not_lost(spark):
+    same = "a b c d e f g h"
+    rows = [(1, same, "x"), (1, "q w e r t y u i o p", "y"), (2, same, "z"), (3, "k l m n o p q r s t", "x"), (1, same, "w"), (3, "k l m n o p q r s t", "x"), (4, "", "x"), (4, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = collections.Counter(map(tuple, jaccard.classes(docs).collect()))
+    assert found == {(1, 1, 2, 4): 2, (1, 1, 0, 6): 1, (2, 1, 2, 4): 1, (3, 3, 1, 6): 2, (4, 4, 0, 0): 2}
+    left = [tuple(r) for r in jaccard.one_of_each(docs).collect()]
+    assert sorted(r[:2] for r in left if r[0] < 4) == [(1, same), (1, "q w e r t y u i o p"), (3, "k l m n o p q r s t")] and sorted(str(r[1]) for r in left if r[0] == 4) == ["", "None"]
+    again = jaccard.one_of_each(docs.orderBy(F.desc("lang")).repartition(3))
+    assert sorted(map(str, left)) == sorted(str(tuple(r)) for r in again.collect())  # also which of the rows that share doc_id and text
+
+
+def test_one_of_each_keeps_the_least_of_every_class_of_repeated_ids(spark):
+    rows = [(k % 40, t) for k, t in near_copies(3, 12, 8)]  # 40 ids, 96 texts
+    texts = sorted({t for _, t in rows})
+    of = {c[0]: c[1] for c in brute_classes(list(enumerate(texts)))}
+    least = {}
+    for k, t in rows:
+        at = of[texts.index(t)]
+        least[at] = min(least.get(at, k), k)
+    got = [tuple(r) for r in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted((of[texts.index(t)], k) for k, t in got) == sorted(least.items())
+
+
+def test_recall_at_the_threshold(spark, monkeypatch):
+    """Pairs of Jaccard 0.80, every bucket split to the last level: the recall that the README states."""
+    monkeypatch.setattr(jaccard, "LIMIT", 1)
+    rng, rows = random.Random(9), []
+    for k in range(4000):
+        w = [f"{rng.randrange(10**8)}" for _ in range(94)]  # 90 shingles
+        x = w[:]
+        x[84], x[89] = "new", "newer"  # ten shingles differ: 80 shared of 100
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(x))]
+    sets = [(set(jaccard.shingles(a[1]).tolist()), set(jaccard.shingles(b[1]).tolist())) for a, b in zip(rows[::2], rows[1::2], strict=True)]
+    linked = [k for k, (a, b) in enumerate(sets) if 10 * len(a & b) >= 8 * len(a | b)]
+    found = {r.doc_id // 2 for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).where("n_links = 1").collect()}
+    assert len(linked) == 4000 and found <= set(linked) and len(found) >= 0.998 * len(linked)
+
+
 def test_runs_follow_the_recall():
     assert jaccard.runs_for(0.9) < jaccard.runs_for(0.9999) and jaccard.RUNS == jaccard.runs_for(jaccard.RECALL)
 
@@ -428,10 +467,14 @@ def test_streaming_equals_the_whole_lattice(text):
 
 
 @here
-def test_documents_encode_as_the_lattice_says(documents):
-    e = viterbi.encoder()
-    for _, text, *_ in documents[:25]:
-        assert np.frombuffer(e.encode(text[:1500]), "<u4").tolist() == lattice(e.v, text[:1500])
+def test_documents_encode_as_the_lattice_says(documents, monkeypatch):
+    """Whole documents, and every id comes out of the streaming search the first time its stretch is met."""
+    e, searched = viterbi.Encoder(viterbi.encoder().path), []
+    run = viterbi.Stream._run
+    monkeypatch.setattr(viterbi.Stream, "_run", lambda s, until, out: searched.append(s.text) or run(s, until, out))
+    for _, text, *_ in documents:
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == lattice(e.v, text or "")
+    assert set(searched) >= {x for d in documents for x in viterbi._STRETCH.findall(viterbi.marked(d[1] or ""))}
 
 
 def test_window_is_bounded():
