@@ -1,10 +1,11 @@
 """Main text of HTML pages: flat text blocks, described by themselves and their neighbours, classified by a decision tree.
 
 A page is cut into blocks at block-level tags. A block has its word count and link density (share of words inside links), those
-of the blocks before and after it, and marks: inside a part that its tag, role, class or id names as a menu, header, footer,
-sidebar, notice, advert, form or reader comments (a half if only a part of a compound name does), or outside the article or main element of a page that has one (aside); inside
-such an element; a heading. The tree is
-trained on the labelled table LABELLED when a worker starts.
+of the blocks before and after it, its length against the page's longest plain block, and three marks: named (1: inside a part
+that its tag, role, class or id names as a menu, header, footer, sidebar, notice, advert, form or reader comments, a half if only
+a part of a compound name does), inside or outside the page's main element where it has one, heading. A part that holds the main
+element, or most of a page without one, is no boilerplate whatever its name. The tree is trained on the labelled pages LABELLED
+when a worker starts.
 
 Cases: null, empty or blank html: empty text; unclosed, stray or cut off tags and comments, unknown character references: read
 as browsers do (what a cut off tag or comment holds is no text); repeated pages: one by one; empty table: empty result; other
@@ -46,55 +47,66 @@ BOILER_MARKS = set(
 _PLAIN = set("list item items posts buttons links box area section wrapper wrap container block inner content site page main global text form".split())
 #: "has-sidebar" and the like speak of the layout.
 _LAYOUT = {"has", "no", "with", "without", "not"}
-#: How surely a tag is boilerplate: an article element inside clears a WEAK mark, a main element a NAMED one too, nothing a FIRM one.
-WEAK, NAMED, FIRM = 1, 2, 3
+#: With one of these, a header is the article's own.
+_OF_ARTICLE = set("article post entry story content main title headline".split())
+#: How surely a tag is boilerplate: as a compound name or a wrapper may say, as a whole name or a tag says, or out of sight.
+WEAK, NAMED, HIDDEN = 1, 2, 3
 MAIN_TAGS = {"article", "main"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "aside", "inside", "heading")
-#: Blocks labelled by hand (fixed values): FEATURES, then 1 for main text.
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "of_longest", "named", "inside", "outside", "heading")
+#: Pages labelled by hand (fixed values), block by block: + main text or - the rest, t text or h heading, words, /linked words,
+#: ! named as boilerplate or ? by a part of a name, ~ outside the main element, = inside it.
 LABELLED = [
-    # the article of a page that marks it
-    (9, 0, 0, 0, 9, 0, 0, 1, 1, 1), (9, 0, 7, 0, 60, 0, 0, 1, 1, 1), (1, 0, 40, 0, 55, 0, 0, 1, 0, 1), (2, 0, 9, 0, 1, 0, 0, 1, 0, 1),
-    (55, 0, 1, 0, 70, 0, 0, 1, 0, 1), (70, 0.05, 55, 0, 12, 0, 0, 1, 0, 1), (12, 0, 70, 0, 130, 0.1, 0, 1, 0, 1), (130, 0.1, 12, 0, 14, 0, 0, 1, 0, 1),
-    (14, 0, 130, 0, 8, 1, 0, 1, 0, 1), (4, 0.25, 25, 0, 25, 0, 0, 1, 0, 1), (30, 0.4, 25, 0, 25, 0, 0, 1, 0, 1), (300, 0, 3, 0, 5, 0, 0, 1, 0, 1),
-    (3, 0, 300, 0, 10, 0, 0, 1, 1, 1), (20, 0.5, 40, 0, 40, 0, 0, 1, 0, 1), (6, 0, 1, 1, 40, 0, 0, 1, 1, 1), (17, 0, 5, 0, 6, 1, 0, 1, 0, 1),
-    # link lists in it
-    (3, 1, 14, 0, 4, 1, 0, 1, 0, 0), (4, 1, 3, 1, 3, 1, 0, 1, 0, 0), (8, 0.95, 4, 1, 10, 0, 0, 1, 0, 0), (2, 1, 60, 0, 2, 1, 0, 1, 0, 0),
-    # boilerplate inside it
-    (12, 0, 60, 0, 70, 0, 1, 1, 0, 0), (45, 0, 30, 0, 40, 0, 1, 1, 0, 0), (3, 0, 30, 0, 45, 0, 1, 1, 1, 0), (120, 0.1, 45, 0, 4, 0, 1, 1, 0, 0), (1, 1, 20, 0, 1, 1, 1, 1, 0, 0),
-    # what surrounds it
-    (1, 1, 1, 1, 1, 1, 1, 0, 0, 0), (1, 1, 1, 1, 7, 0, 1, 0, 0, 0), (7, 0, 1, 1, 9, 0, 1, 0, 0, 0), (25, 0, 1, 1, 9, 0, 1, 0, 0, 0), (16, 0.1, 60, 0, 0, 0, 1, 0, 0, 0),
-    (80, 0, 60, 0, 40, 0, 1, 0, 0, 0), (5, 0, 0, 0, 60, 0, 1, 0, 0, 0), (30, 0, 20, 0, 30, 0, 1, 0, 0, 0), (90, 0.1, 90, 0, 3, 1, 1, 0, 0, 0), (2, 1, 4, 1, 4, 1, 1, 0, 0, 0),
-    (7, 0, 3, 1, 9, 0, 1, 0, 0, 0), (10, 0, 16, 0, 0, 0, 1, 0, 1, 0),
-    # pages without such an element: text
-    (60, 0, 8, 0, 70, 0.05, 0, 0, 0, 1), (70, 0.05, 60, 0, 30, 0, 0, 0, 0, 1), (30, 0, 70, 0.05, 18, 0.1, 0, 0, 0, 1), (18, 0.1, 30, 0, 45, 0, 0, 0, 0, 1),
-    (8, 0, 3, 1, 60, 0, 0, 0, 1, 1), (10, 0, 60, 0, 12, 0, 0, 0, 0, 1), (12, 0, 10, 0, 40, 0, 0, 0, 0, 1), (5, 0, 45, 0, 50, 0, 0, 0, 1, 1), (150, 0.2, 2, 1, 3, 1, 0, 0, 0, 1),
-    (45, 0, 2, 1, 2, 1, 0, 0, 0, 1), (2, 0, 50, 0, 60, 0, 0, 0, 0, 1), (22, 0.3, 30, 0, 30, 0, 0, 0, 0, 1), (11, 0, 18, 0, 9, 0, 0, 0, 0, 1), (9, 0, 11, 0, 4, 0.5, 0, 0, 0, 1),
-    # and the rest
-    (1, 1, 1, 1, 2, 1, 0, 0, 0, 0), (3, 1, 2, 1, 8, 0, 0, 0, 0, 0), (6, 0.7, 60, 0, 5, 1, 0, 0, 0, 0), (12, 0.9, 4, 1, 4, 1, 0, 0, 0, 0), (4, 0, 2, 1, 3, 1, 0, 0, 0, 0),
-    (3, 0, 3, 0, 2, 1, 0, 0, 0, 0), (10, 0, 2, 0.8, 6, 0.5, 0, 0, 0, 0), (5, 0, 2, 0, 6, 0, 0, 0, 0, 0), (12, 0, 3, 1, 4, 1, 0, 0, 0, 0), (30, 0.6, 10, 0.2, 40, 0.8, 0, 0, 0, 0), (25, 0.5, 60, 0, 3, 1, 0, 0, 0, 0),
-    (2, 0, 0, 0, 2, 0.9, 0, 0, 1, 0), (40, 0, 30, 0, 40, 0, 1, 0, 0, 0), (2, 0, 5, 0, 40, 0, 1, 0, 0, 0), (9, 1, 40, 0, 0, 0, 1, 0, 0, 0), (100, 0, 9, 1, 9, 1, 1, 0, 0, 0),
-    # short blocks among short blocks, on pages without an article element
-    (3, 0, 3, 0, 3, 0, 0, 0, 0, 0), (6, 0, 4, 0, 5, 0, 0, 0, 0, 0), (8, 0, 2, 0, 7, 0, 0, 0, 0, 0), (2, 0, 9, 0, 4, 0, 0, 0, 0, 0), (10, 0, 5, 0, 3, 0, 0, 0, 0, 0), (4, 0, 0, 0, 3, 0, 0, 0, 0, 0), (7, 0, 6, 0, 0, 0, 0, 0, 0, 0),
-    (5, 0, 8, 0, 9, 0, 0, 0, 0, 0), (12, 0, 6, 0, 4, 0, 0, 0, 0, 0), (9, 0, 3, 0, 10, 0, 0, 0, 1, 0), (1, 0, 1, 0, 2, 0, 0, 0, 0, 0), (4, 0.2, 5, 0, 5, 0.2, 0, 0, 0, 0),
-    # named boilerplate there
-    (60, 0, 5, 0, 4, 0, 1, 0, 0, 0), (80, 0, 3, 1, 8, 0, 1, 0, 0, 0), (150, 0, 9, 0, 2, 0, 1, 0, 0, 0), (36, 0, 2, 0, 0, 0, 1, 0, 0, 0), (20, 0, 40, 0, 6, 0, 1, 0, 0, 0), (12, 0, 60, 0, 50, 0, 1, 0, 0, 0), (45, 0, 20, 0, 70, 0, 1, 0, 0, 0),
-    # more of each place
-    (4, 0, 1, 0, 60, 0, 0, 1, 0, 1), (5, 0, 2, 0, 18, 0, 0, 1, 0, 1), (4, 0, 3, 0, 90, 0, 0, 1, 0, 1), (5, 0, 0, 0, 30, 0, 0, 1, 1, 1), (4, 0, 2, 0, 5, 0, 0, 1, 0, 1), (5, 0, 3, 0, 2, 0, 0, 1, 0, 1), (6, 0, 1, 0, 12, 0, 0, 1, 0, 1), (3, 0, 2, 0, 40, 0, 0, 1, 0, 1),
-    (5, 0, 5, 0, 3, 1, 0, 1, 0, 1), (9, 0, 4, 0, 5, 1, 0, 1, 0, 1), (2, 0, 6, 0, 4, 1, 0, 1, 0, 1), (80, 0, 0, 0, 60, 0, 0, 0, 0, 1), (60, 0, 2, 0, 40, 0, 0, 0, 0, 1), (25, 0, 1, 0, 60, 0, 0, 0, 0, 1), (120, 0, 0, 0, 0, 0, 0, 0, 0, 1),
-    (35, 0, 2, 0, 4, 0, 0, 1, 0, 1), (7, 0, 22, 0, 30, 0, 0, 1, 0, 1), (25, 0, 40, 0, 5, 0, 0, 1, 0, 1), (60, 0, 60, 0, 0, 0, 0, 1, 0, 1), (2, 0, 20, 0, 16, 0, 0, 1, 0, 1), (90, 0, 8, 0, 2, 0, 0, 1, 0, 1),
-    (5, 0, 80, 0, 3, 0, 0, 1, 0, 1), (40, 0.2, 3, 0, 6, 0, 0, 1, 0, 1), (11, 0, 15, 0, 26, 0, 0, 1, 0, 1), (200, 0, 50, 0, 1, 0, 0, 1, 0, 1), (3, 0, 4, 0, 22, 0, 0, 1, 0, 1), (8, 0, 0, 0, 0, 0, 0, 1, 0, 1),
-    (6, 0, 47, 0, 5, 0, 0, 1, 0, 1), (1, 0, 1, 0, 1, 0, 0, 1, 0, 1), (33, 0, 36, 0, 90, 0, 0, 1, 0, 1), (15, 0, 24, 0, 7, 0, 0, 1, 1, 1),
-    (40, 0, 5, 0, 35, 0, 1, 0, 0, 0), (60, 0, 2, 0, 9, 0, 1, 0, 0, 0), (15, 0, 12, 0, 50, 0, 1, 0, 0, 0), (9, 0, 30, 0, 80, 0, 1, 0, 1, 0), (35, 0.2, 45, 0, 25, 0, 1, 0, 0, 0), (120, 0, 10, 0, 60, 0, 1, 0, 0, 0),
-    (22, 0, 60, 0, 22, 0, 1, 0, 0, 0), (4, 0, 8, 0, 20, 0, 1, 0, 0, 0), (50, 0, 33, 0, 2, 0, 1, 0, 0, 0), (3, 0, 0, 0, 8, 1, 1, 0, 0, 0), (18, 0, 20, 0, 70, 0, 1, 0, 0, 0), (28, 0, 14, 0, 14, 0, 1, 0, 0, 0),
-    # under a name that may mean boilerplate: long blocks with few links are text
-    (60, 0, 5, 0, 50, 0, 0.5, 0, 0, 1), (45, 0, 60, 0, 8, 0, 0.5, 0, 0, 1), (90, 0.05, 3, 0, 4, 1, 0.5, 0, 0, 1), (150, 0.1, 0, 0, 0, 0, 0.5, 0, 0, 1), (35, 0.1, 2, 1, 40, 0, 0.5, 0, 0, 1), (30, 0, 8, 0, 30, 0, 0.5, 0, 0, 1),
-    (55, 0, 40, 0, 30, 0, 0.5, 1, 0, 1), (40, 0.1, 9, 0, 3, 0, 0.5, 1, 0, 1), (120, 0, 4, 0, 60, 0, 0.5, 1, 0, 1), (32, 0, 0, 0, 12, 0, 0.5, 1, 0, 1),
-    (3, 0, 4, 0, 3, 0, 0.5, 0, 0, 0), (12, 0, 60, 0, 50, 0, 0.5, 0, 0, 0), (20, 0, 3, 0, 9, 0, 0.5, 0, 0, 0), (1, 1, 2, 1, 1, 1, 0.5, 0, 0, 0), (7, 0, 9, 0, 40, 0, 0.5, 0, 1, 0), (22, 0, 30, 0, 30, 0, 0.5, 0, 0, 0),
-    (10, 0, 40, 0, 60, 0, 0.5, 1, 0, 0), (2, 0, 30, 0, 4, 0, 0.5, 1, 1, 0), (18, 0, 3, 0, 90, 0, 0.5, 1, 0, 0), (24, 0.2, 60, 0, 2, 0, 0.5, 1, 0, 0),
-    (40, 0.6, 3, 0, 5, 0, 0.5, 0, 0, 0), (60, 0.8, 30, 0, 30, 0, 0.5, 0, 0, 0), (90, 0.5, 2, 1, 40, 0, 0.5, 1, 0, 0), (45, 0.9, 60, 0, 50, 0, 0.5, 1, 0, 0),
+    # pages with a main element
+    "-t1/1!~ -t1/1!~ -t2/2!~ -t7!~ +h9= +t9= +t55= +t70/4= +t12= +t130/13= +t4= -t8!~",
+    "-t1/1!~ -t1/1!~ -t1/1!~ -t10!~ +h6= +t6= +t1= +t3= +t22= +t1= +t90= +t2= -t11/1!~",
+    "-t1/1~ -t2/2~ -t1/1~ -t9~ +h5= +t30= +t40= -t3/3= -t4/4= -t3/3= -t12!= +t45= +t60= -t16!~",
+    "-t5!~ -t25!~ +h3= +t300= -t2/2= -t2/2= -t2/2= +t20= +t8= -t80!~ -t30!~",
+    "-t3/3!~ -t6~ +h7= +t14= +t60= -h2= -t6/6= -t7/7= -t5/5= -t8/8= -t40!= -t120/9!= -t45!= -t4~",
+    "-t1/1!~ +h8= +t40= +t6/6= +t35= +t12/10= +t50= +t25= -t9/9!~ -t9/9!~ -t20~ -t90/8~",
+    "-t2/2~ -t2/2~ +h4= +t4= +t5= +t3= +t5= +t9= -t16!~",
+    "-t12!~ +h10= +t2= +t1= +t1= +t2= +t6= +t47= +t5= -t7!~",
+    "-t1/1!~ +h6= +t18= +t5= +t4= +t6= +t3= +t22= +h3= +t33= +t90= -h2!= -t36!= -t41!= -t30!=",
+    "-t1/1~ -t8~ -t70~ +h11= +t150/20= +t24= +t24/10= -t4/4= -t4/4= -t4/4= -t60~ -t3/3~",
+    "-t4/4~ -t4/4~ +h2= +t80= +t60= +t7= +t30= -h2= -t9/8= -t11/10= -t8/8= -h3!= -t12!=",
+    "-t1/1!~ -t7!~ +h5= +t17= +t1= +t5= +t2= +t200= +t16= +t4= +t6/1= +t11= -t9!~",
+    "-t14~ -t5/5~ +h7= +t35= +t3/3= +t40= +t25= +t4/4= +t55= +t32= -t22!~ -t60!~",
+    "-t1/1~ +h6= +t8= -t50?= +t44= +t38= +t120?= +t60= -t5?= -t4/4?= -t10~",
+    "+h3= +t3= -t4!~", "-t1/1!~ +t15= +t24= +t7= -t3!~", "-t9!~ +h12= +t12= -t9!~", "-t2/2!~ +h4= +t1= +t120= +t1= +t60= +t1= -t18!~ -t70!~",
+    # pages without one
+    "-t1/1 -t2/2 -t1/1 +h8 +t60 +t70/4 +t30 +t18/2 +t45 -t3/3 -t2/2 -t4",
+    "-t3/3 -t2/2 +h5 +t45 +t50 +t2 +t60 +t22/7 +t30 -t12 -t4/4 -t6",
+    "-t1/1! -t4/4! +h10 +t10 +t60 +t12 +t40 +h5 +t55 +t11 +t30 -t9! -t25!",
+    "-t2/2 -t4 -t2/2 +h6 +t150/30 +t9 +t80 -t3/3 -t4/4 -t10 -t30/20",
+    "-t4 -t3 -t5 -t4/4 +h7 +t120 +t6 +t90 -t3 -t6 -t2 -t8/8",
+    "+t6 +t7", "+t3", "+t8 +t5 +t9", "+h4 +t12", "+t25 +t60", "+t20000", "+h2 +t9 +t7 +t11", "+t5", "+t7 +t4", "+t2 +t1 +t2", "+t10",
+    "-t1/1 -t2/2 +t12 +t9 -t3/3 -t1/1", "-t2/2! -t1/1! +h5 +t8 +t6 -t4!", "-t6! +t14 +t11 -t9!", "-t1/1 -t1/1 +h3 +t10 +t14 -t2/2 -t2/2",
+    "-t5 -t2/2 -t4 +h9 +t70 +t65 +t4 +t70 -t12/11 -t9/9 -t12/10 -t5",
+    "-t60! -t2/2 +h5 +t40 +t35 +t50 -t80! -t45! -t20!",
+    "-t3/3 +t60 +t5 +t5 +t8 +t70 -t10/7 -t25/13 -t2/2",
+    "-t7 -t4/4 -t12/1 -t3/3 +h8 +t90/9 +t22 +t18 +t60 -t3 -t5/5 -t16/3 -t4/4",
+    "-t1/1 -t6/5 +h4 +t33 +t25/8 +t41 -t2 -t6/6 -t7/7 -t6/6",
+    "-t2/2! +t60", "-t1/1 +h4 +t70", "-t3/3~ +t12= +t80=", "-t1/1! -t1/1! +t40", "-t1/1 +t25 -t5/5", "-t1/1~ +h3= +t4= -t2/2~", "-t2/2 -t2/2 +h4 +t50 +t6 +t30 -t4!",
+    "+h4= +t60= +t8= +t5= -t30?= -t6?= +t75=", "+t12= +t4/4= +t50= +t3= -t9!=", "-t1/1 -t1/1 -t1/1 -t5 +h6 +t30 +t4 +t55 +t2 +t9 +t33 -t6/6 -t2/2",
+    # wrappers whose names may mean boilerplate
+    "-t1/1! +t60? +t45? +t8? +t90/4? +t70? -t3/3? -t2/2? -t9!", "-t4/4? -t3/3? -t2? +t80? +t40? +t55? -t5? -t1/1?", "-t2/2 +h6 +t50 +t60 -t12? -t20? -t8? -t5/5?",
+    "+h5 +t70 -t10? +t60 +t30? +t45 -t6/6? -t22/9?", "-t3? -t2/2? -t4? +t120? +t100/4? -t2? -t7/7?", "+h7 +t90 +t60 -t15? -t24? -t18? -t40/32?",
 ]
+_SPEC = re.compile(r"([+-])([th])(\d+)(?:/(\d+))?([!?]?)([~=]?)")
+
+
+def labelled_rows(pages: list[str] = LABELLED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and page numbers of the labelled blocks."""
+    x, y, at = [], [], []
+    for k, page in enumerate(pages):
+        found = []
+        for label, kind, words, linked, mark, place in _SPEC.findall(page):
+            found.append(Block("", int(words), int(linked or 0) / int(words), {"!": NAMED, "?": WEAK}.get(mark, 0), place == "=", kind == "h"))
+            y.append(label == "+")
+        x += features(found, any(b.main for b in found))
+        at += [k] * len(found)
+    return np.array(x, float), np.array(y, float), np.array(at)
 
 
 # ---- decision tree
@@ -138,8 +150,7 @@ _trees: list[Tree] = []
 
 def tree() -> Tree:
     if not _trees:
-        table = np.array(LABELLED, float)
-        _trees.append(Tree(table[:, :-1], table[:, -1]))
+        _trees.append(Tree(*labelled_rows()[:2]))
     return _trees[0]
 
 
@@ -166,9 +177,9 @@ class _Tag:
         self.silent = self.name in SILENT and not self.closing and not (self.name in ("svg", "math") and raw.endswith("/>"))
         self.header = self.name == "header"
         self.main = self.name in MAIN_TAGS or ("role" in raw and bool(re.search(r"""role\s*=\s*["']?main\b""", raw)))
-        self.boiler = _marked(raw) if self.name not in ("html", "body", "article", "main") else 0
+        self.boiler = _marked(raw) if self.name not in ("html", "body") else 0
         if self.name in BOILER_TAGS:
-            self.boiler = max(self.boiler, NAMED if self.name in ("form", "fieldset") else FIRM)
+            self.boiler = max(self.boiler, NAMED)
 
 
 def _marked(raw: str) -> int:
@@ -179,28 +190,40 @@ def _marked(raw: str) -> int:
         if name in ("class", "id", "role"):
             most = max([most, *map(_named, value.split())])
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            return FIRM
+            return HIDDEN
     return most
 
 
 def _named(token: str) -> int:
     parts = _WORDS.findall(token)
-    if BOILER_MARKS.isdisjoint(parts) or parts[0] in _LAYOUT or token == "overflow-hidden":
+    marks = BOILER_MARKS.intersection(parts)
+    if not marks or parts[0] in _LAYOUT or token == "overflow-hidden" or (marks <= {"header", "share"} and not _OF_ARTICLE.isdisjoint(parts)):
         return 0
-    return NAMED if all(p in BOILER_MARKS or p in _PLAIN for p in parts) else WEAK
+    plain = _PLAIN if marks <= {"form"} else _PLAIN | _OF_ARTICLE
+    return NAMED if all(p in BOILER_MARKS or p in plain for p in parts) else WEAK
 
 
 _tag = lru_cache(maxsize=1 << 15)(_Tag)
 
 
+class _Part:
+    """An element that is marked as boilerplate or a main element."""
+
+    __slots__ = ("name", "mark", "main", "around", "words")
+
+    def __init__(self, name: str, mark: int, main: bool, around: tuple):
+        self.name, self.mark, self.main, self.around, self.words = name, mark, main, around, 0
+
+
 def blocks(page: str | None) -> tuple[list[Block], bool]:
-    """The page's text blocks in order, and whether it has an article or main element."""
+    """The page's text blocks in order, and whether it has a main element."""
     page = page or ""
     out: list[Block] = []
-    open_: list[tuple[str, int, bool]] = []  # tag, how surely inside boilerplate, inside the main part
+    within: list[tuple[_Part, ...]] = []  # for each block, the parts it is in
+    open_: list[tuple[str, tuple[_Part, ...]]] = []
     pieces: list[tuple[str, bool]] = []
-    state = {"boiler": 0, "main": False}
-    link, heading, has_main, at = False, False, False, 0
+    parts: tuple[_Part, ...] = ()
+    link, heading, at = False, False, 0
 
     def flush():
         if pieces:
@@ -208,11 +231,14 @@ def blocks(page: str | None) -> tuple[list[Block], bool]:
             if text:
                 linked = sum(len(p.split()) for p, a in pieces if a)
                 words = text.count(" ") + 1
-                out.append(Block(text, words, min(1.0, linked / words), state["boiler"], state["main"], heading))
+                out.append(Block(text, words, min(1.0, linked / words), 0, False, heading))
+                within.append(parts)
+                for p in parts:
+                    p.words += words
             pieces.clear()
 
-    def inherit():
-        _, state["boiler"], state["main"] = open_[-1] if open_ else ("", 0, False)
+    def around():
+        return open_[-1][1] if open_ else ()
 
     def say(raw: str):
         if raw:
@@ -234,58 +260,94 @@ def blocks(page: str | None) -> tuple[list[Block], bool]:
         if tag == "a":
             link = not closing
             continue
-        if not block and closing and not any(t == tag for t, _, _ in open_):
+        if not block and closing and not any(t == tag for t, _ in open_):
             continue
         if block:
             flush()
             if open_ and open_[-1][0] == "p":  # a block ends an open paragraph
                 open_.pop()
-                inherit()
+                parts = around()
         if closing:
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == tag:
-                    if not block and any(t in BLOCK for t, _, _ in open_[k + 1 :]):
+                    if not block and any(t in BLOCK for t, _ in open_[k + 1 :]):
                         break  # an inline element does not end blocks
-                    if not block and open_[k][1] != state["boiler"]:
+                    if not block and open_[k][1] != parts:
+                        flush()
+                    elif not block and (open_[k - 1][1] if k else ()) != parts:
                         flush()
                     del open_[k:]
-                    inherit()
+                    parts = around()
                     break
             if tag in _HEADINGS:
                 heading = False
             continue
         if t.void:
             continue
-        boiler = FIRM if t.header and not state["main"] else t.boiler
-        if block or boiler:
+        mark = t.boiler
+        if t.header and not any(p.main for p in parts):
+            mark = max(mark, NAMED)
+        if block or mark:
             if not block:
                 flush()
-            main = state["main"] or t.main
-            has_main |= main
             if tag == "li" and open_ and open_[-1][0] == "li":
                 open_.pop()
-                inherit()
-            around = state["boiler"]
-            if t.main and around <= (WEAK if tag == "article" else NAMED):
-                around = 0
-            open_.append((tag, max(around, boiler), main))
-            inherit()
+                parts = around()
+            if mark or t.main:
+                parts = (*parts, _Part(tag, mark, t.main, parts))
+            open_.append((tag, parts))
             if tag in _HEADINGS:
                 heading = True
             elif block:
                 heading = False
     say(page[at:])
     flush()
-    return out, has_main
+    roots, free = _roots(out, within)
+    for b, ps in zip(out, within, strict=True):
+        b.main = not roots.isdisjoint(ps)
+        b.boiler = max([p.mark for p in ps if p not in free], default=0)
+    return out, bool(roots)
+
+
+def _roots(found: list[Block], within: list[tuple[_Part, ...]]) -> tuple[set, set]:
+    """The page's main elements (none if they hold little of its plain text), and the parts whose marks don't count."""
+    total = sum(b.words for b in found)
+    wrapper = lambda p: p.mark < NAMED or (p.mark == NAMED and p.name in ("form", "fieldset"))
+    seen = {p: None for ps in within for p in ps}
+    mains = [p for p in seen if p.main and all(x.mark < HIDDEN for x in (*p.around, p))]
+    # under another's name, such as that of a sidebar, an element must hold most of the page
+    fit = [p for p in mains if all(wrapper(x) for x in (*p.around, p))] or [p for p in mains if 2 * p.words > total]
+    articles = [p for p in fit if p.name == "article" and not any(x.main and x.name == "article" for x in p.around)]
+    most = max(articles, key=lambda p: p.words, default=None)
+    if most is not None and 2 * most.words >= sum(p.words for p in articles):
+        roots = {most}
+    else:
+        roots = {p for p in fit if p.name != "article" and not any(x.main and x in fit for x in p.around)} or set(articles)
+    held = sum(b.words for b, ps in zip(found, within, strict=True) if not roots.isdisjoint(ps))
+    plain = sum(b.words for b, ps in zip(found, within, strict=True) if b.linked < 0.5 and all(wrapper(p) for p in ps))
+    if 4 * held < plain:
+        roots = set()
+    if roots:
+        free = {x for r in roots for x in (*r.around, r) if x.mark < HIDDEN}
+    else:
+        free = {p for p in seen if wrapper(p) and 2 * p.words > total}
+    return roots, free
 
 
 def features(found: list[Block], has_main: bool) -> list[tuple]:
+    """FEATURES of each block. Neighbours are the nearest blocks on the same side of the main element's edge."""
     none = Block("", 0, 0.0, 0, False, False)
-    around = [none, *found, none]
-    return [
-        (b.words, b.linked, p.words, p.linked, n.words, n.linked, 1 if b.boiler > WEAK or (has_main and not b.main) else b.boiler / 2, b.main, b.heading)
-        for p, b, n in zip(around, around[1:], around[2:], strict=False)
-    ]
+    longest = max([b.words for b in found if b.boiler < NAMED and b.linked < 0.5], default=1)
+    after: list[Block] = []
+    last = {True: none, False: none}
+    for b in reversed(found):
+        after.append(last[b.main])
+        last[b.main] = b
+    out, last = [], {True: none, False: none}
+    for b, n in zip(found, reversed(after), strict=True):
+        p, last[b.main] = last[b.main], b
+        out.append((b.words, b.linked, p.words, p.linked, n.words, n.linked, min(1.0, b.words / longest), min(b.boiler, NAMED) / NAMED, b.main, has_main and not b.main, b.heading))
+    return out
 
 
 def main_text(page: str | None) -> tuple[str, int, int]:
