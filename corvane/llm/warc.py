@@ -4,12 +4,15 @@ A response's HTTP block is parsed; its payload digest is checked against the hea
 status, HTTP headers, title, charset, links and digest as warc-fields; the conversion record holds the visible text. Both keep
 the target URI and date, carry WARC-Refers-To with the response's id, and have ids and digests of their own that follow from it.
 
-Files are sequences of gzip members, one per record, in a folder that all executors reach. A task names its files after its
-partition and replaces them as a whole, so a repeated task leaves the same files.
+Files are sequences of gzip members, one per record, in a folder that all executors reach. Every file of responses becomes one file
+of derivatives, whose name follows from the other's path; a file appears under its name when it is whole, so a repeated task leaves
+the same files however the paths are dealt.
 
 Cases: null or empty html: a response with an empty body, an empty conversion; null url: target about:blank; null page_id: no
-page id header; equal rows: equal record ids, each converted; a record that is no response, or whose digest does not fit, or that
-is cut off: passed over, counted in the manifest; empty table: no files, empty result; other columns are ignored.
+page id header; equal rows: equal record ids, each converted; a damaged gzip member: reading goes on at the next one; a damaged
+record, one that is no response, or whose digest does not fit: not converted, counted in the manifest's column skipped, and a row
+of type damaged in read_records() if it can't be read or its digest does not fit; derivatives() raises if any is skipped; empty
+table: no files, empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -117,49 +120,68 @@ def member(raw: bytes) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def members(stream, step: int = 1 << 20):
-    """Records of a file of gzip members, one at a time; a member that is cut off ends the file."""
-    z, out, data = zlib.decompressobj(31), [], b""
+MAGIC = b"\x1f\x8b\x08"
+
+
+def members(stream, step: int = 1 << 17, lost: list | None = None):
+    """Records of a file of gzip members, one at a time. A stretch that is damaged or cut off is passed over up to the next member; lost gets an entry for each."""
+    whole, sound = b"", True  # what is read from the start of a member on
+
+    def next_start() -> None:
+        nonlocal whole, sound
+        if sound and lost is not None:
+            lost.append(len(whole))
+        at = whole.find(MAGIC, 1)
+        whole, sound = whole[at:] if at >= 0 else whole[max(1, len(whole) - len(MAGIC) + 1) :], False
+
     while True:
-        if not data:
-            data = stream.read(step)
-            if not data:
+        if not whole:
+            whole = stream.read(step)
+            if not whole:
                 return
-        try:
-            out.append(z.decompress(data))
-        except zlib.error:
-            return
-        data = z.unused_data
-        if z.eof:
+        z, out, at = zlib.decompressobj(31), [], 0
+        while not z.eof:
+            try:
+                out.append(z.decompress(whole[at:]))
+            except zlib.error:
+                next_start()
+                break
+            at = len(whole)
+            if not z.eof:
+                more = stream.read(step)
+                if not more:  # cut off
+                    next_start()
+                    break
+                whole += more
+        else:
+            whole, sound = z.unused_data, True
             yield b"".join(out)
-            z, out = zlib.decompressobj(31), []
 
 
-class _Files:
-    """Writes records into files named after the task; each appears under its name when it is whole."""
+class _File:
+    """A file of records that appears under its name when it is closed."""
 
-    def __init__(self, folder: str, stem: str):
+    def __init__(self, folder: str, name: str):
         from pyarrow import fs
 
-        self.folder, self.stem, self.part, self.n, self.out = folder, stem, 0, 0, None
-        self.fs, self.at = fs.FileSystem.from_uri(folder)
+        self.path, self.n, self.skipped = f"{folder}/{name}", 0, 0
+        self.fs, at = fs.FileSystem.from_uri(folder)
+        self.fs.create_dir(at, recursive=True)
+        self.at, self.own = f"{at}/{name}", f"{at}/.{name}.{uuid.uuid4().hex}"
+        self.out = self.fs.open_output_stream(self.own, compression=None)
 
     def put(self, *raws: bytes) -> None:
-        if self.out is None:
-            self.fs.create_dir(self.at, recursive=True)
-            self.name = f"{self.stem}-{TaskContext.get().partitionId():06d}-{self.part:04d}.warc.gz"
-            self.own = f"{self.at}/.{self.name}.{uuid.uuid4().hex}"
-            self.out = self.fs.open_output_stream(self.own, compression=None)
         for raw in raws:
             self.out.write(member(raw))
         self.n += 1
 
-    def close(self):
-        if self.out is not None:
-            self.out.close()
-            self.fs.move(self.own, f"{self.at}/{self.name}")
-            yield pa.RecordBatch.from_arrays([pa.array([f"{self.folder}/{self.name}"]), pa.array([self.n])], ["path", "n"])
-            self.out, self.n, self.part = None, 0, self.part + 1
+    def close(self) -> pa.RecordBatch:
+        self.out.close()
+        self.fs.move(self.own, self.at)
+        return pa.RecordBatch.from_arrays([pa.array([self.path]), pa.array([self.n]), pa.array([self.skipped])], ["path", "n", "skipped"])
+
+
+MANIFEST = "path string, n long, skipped long"
 
 
 def _open(path: str):
@@ -170,53 +192,60 @@ def _open(path: str):
 
 
 def write_responses(pages: DataFrame, folder: str) -> DataFrame:
-    """Manifest (path, n) of files with one response per page."""
+    """Manifest (path, n, skipped: 0) of files with one response per page."""
 
     def run(batches):
-        files = _Files(folder, "response")
+        file, part = None, 0
         for batch in batches:
             for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                files.put(response(page_id, url, html))
-                if files.n >= RECORDS_PER_FILE:
-                    yield from files.close()
-        yield from files.close()
+                file = file or _File(folder, f"response-{TaskContext.get().partitionId():06d}-{part:04d}.warc.gz")
+                file.put(response(page_id, url, html))
+                if file.n >= RECORDS_PER_FILE:
+                    yield file.close()
+                    file, part = None, part + 1
+        if file:
+            yield file.close()
 
-    return C.cut(pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInArrow(run, "path string, n long"), "warc-manifest")
+    return C.cut(pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInArrow(run, MANIFEST), "warc-manifest")
 
 
 def _spread(manifest: DataFrame) -> DataFrame:
-    return manifest.select("path").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("path").repartition(n, "path").sortWithinPartitions("path")
 
 
 def write_derivatives(manifest: DataFrame, folder: str) -> DataFrame:
-    """Manifest (path, n) of files with the two records of every response in the files of a manifest."""
+    """Manifest (path, n: responses converted, skipped: other and damaged records) of one file for every file of a manifest (path)."""
 
     def run(batches):
-        files = _Files(folder, "derived")
         for batch in batches:
             for path in batch.column(0).to_pylist():
+                file, lost = _File(folder, f"derived-{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}.warc.gz"), []
                 with _open(path) as stream:
-                    for raw in members(stream):
+                    for raw in members(stream, lost=lost):
                         both = derive(raw)
                         if both:
-                            files.put(*both)
-                            if files.n >= RECORDS_PER_FILE:
-                                yield from files.close()
-        yield from files.close()
+                            file.put(*both)
+                        else:
+                            file.skipped += 1
+                file.skipped += len(lost)
+                yield file.close()
 
-    return C.cut(_spread(manifest).mapInArrow(run, "path string, n long"), "warc-derived")
+    return C.cut(_spread(manifest).mapInArrow(run, MANIFEST), "warc-derived")
 
 
 SCHEMA = "page_id long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, source_digest string, block_digest string, content_length long, n_chars long, n_lines long"
 
 
 def read_records(manifest: DataFrame, with_block: bool = False) -> DataFrame:
-    """One row per record in the files of a manifest; with_block: its block as text too. Blocks whose digest does not fit are passed over."""
+    """One row per record in the files of a manifest; with_block: its block as text too. What can't be read, or whose digest does not fit, is a row of type damaged with nothing else."""
+
+    damaged = (None, "damaged", *[None] * (10 + with_block))
 
     def row(raw: bytes):
         got = parse(raw)
         if not got or got[0].get("warc-block-digest") not in (None, digest(got[1])):
-            return None
+            return damaged
         h, block = got
         text = block.decode("utf-8", "replace")
         page = h.get("x-page-id")
@@ -230,14 +259,13 @@ def read_records(manifest: DataFrame, with_block: bool = False) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with _open(path) as stream:
-                    held = []
-                    for raw in members(stream):
-                        r = row(raw)
-                        if r:
-                            held.append(r)
+                    held, lost = [], []
+                    for raw in members(stream, lost=lost):
+                        held.append(row(raw))
                         if len(held) >= 500:
                             yield batch_of(held)
                             held = []
+                    held += [damaged] * len(lost)
                     if held:
                         yield batch_of(held)
 
@@ -250,5 +278,8 @@ def read_records(manifest: DataFrame, with_block: bool = False) -> DataFrame:
 def derivatives(pages: DataFrame) -> DataFrame:
     """The pages as response files, their derivatives as files, and a row per derived record read back from them."""
     spark = pages.sparkSession
-    made = write_responses(pages, C.fresh_path(spark, "warc-responses"))
-    return read_records(write_derivatives(made, C.fresh_path(spark, "warc-derived")))
+    made = write_derivatives(write_responses(pages, C.fresh_path(spark, "warc-responses")), C.fresh_path(spark, "warc-derived"))
+    lost = made.where("skipped > 0").select("path").limit(1).collect()
+    if lost:
+        raise ValueError(f"records were skipped: {lost[0].path}")
+    return read_records(made)
