@@ -9,13 +9,23 @@ from pyspark.sql import functions as F
 from . import common as C
 
 MAX_ROUNDS = 60
+#: A node with more than this share of all edges has its own way through a join; there are fewer such nodes than twice HUBS.
+HUBS = 1024
+
+
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """edges (u, v) with m: the least of u and its v. A hub's rows stay where they are: its least is sent to them."""
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    hub = F.col("n") > max(1, total // HUBS)
+    hubs = F.broadcast(least.where(hub).select("u", "m"))
+    rest = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(~hub).select("u", "m"), "u")
+    return edges.join(hubs, "u").unionByName(rest)
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """edges (a, b: long) -> (id, component): for every id in an edge between two ids, the least id that edges lead to.
 
-    A node with very many edges is never gathered: its least neighbour is an aggregate with partial sums, and the join that
-    brings it back may be split by the adaptive skew join.
+    A node with very many edges is never gathered: its least neighbour is an aggregate with partial sums, which is sent to its edges.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = C.cut(e, "edges")
@@ -24,11 +34,10 @@ def connected(edges: DataFrame) -> DataFrame:
         if not mark[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = _with_least(both, mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = C.cut(large.distinct(), "edges")  # u > v throughout
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
+        down = large.groupBy("u").agg(F.min("v").alias("v"))
+        small = _with_least(large, mark[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down)
         nxt = C.cut(small.where("u <> v").distinct(), "edges")
         C.discard(e, large)
         e, before, mark = nxt, mark, _mark(nxt)

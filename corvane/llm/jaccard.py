@@ -363,6 +363,18 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     return np.rint(total).astype(np.int64)
 
 
+def _links_of_large(large: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, links, root of groups that are checked in tiles. Sets of like size share a tile, since a set meets none below 0.8 of its size."""
+    large = C.cut(large.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / math.log(1.25))), "jaccard-crowd")
+    bands = C.cut(large.groupBy("group", "band").agg(F.count(F.lit(1)).alias("m")), "jaccard-bands")
+    tile = F.col("band") * 2**32 + _tile_of(F.col("m"))
+    large = large.join(bands, ["group", "band"]).select("group", tile.cast("long").alias("tile"), "id", "weight", "doc_id", "text_hash")
+    large = large.join(sketches, "id").join(texts, ["doc_id", "text_hash"]).select("group", "tile", "id", "weight", "sketch", "text")
+    crowd = _tiles(large, C.fresh_path(large.sparkSession, "set-tiles"), _pack_sets, "least long, most long")
+    within = (10 * F.col("most_a") >= 8 * F.col("least_b")) & (10 * F.col("most_b") >= 8 * F.col("least_a"))
+    return tiles.compared(_pairs_of(crowd, within), _checked_tiles, "id long, links long, root long")
+
+
 def _classed(docs: DataFrame, runs: int) -> tuple[DataFrame, DataFrame]:
     """The marks of all rows; and per distinct set: d1, d2, weight (rows with it), doc_id, text_hash (its least row), class_id, class_hash (its class's least row), n_links."""
     spark = docs.sparkSession
@@ -377,8 +389,10 @@ def _classed(docs: DataFrame, runs: int) -> tuple[DataFrame, DataFrame]:
 
     leaves, crowded = _leaves(sets, runs)
     edges = leaves.join(sketches, "id").repartition(n, "key").sortWithinPartitions("key", "id").select("key", "id", "sketch").mapInArrow(_alike, "a long, b long")
-    tiled = _tiles(crowded.select(F.col("key").alias("group"), "id", _tile_of(F.col("n")).alias("tile")).join(sketches, "id").select("group", "tile", "id", "sketch"), C.fresh_path(spark, "leaf-tiles"), _pack_sketches)
-    edges = edges.unionByName(tiles.compared(_pairs_of(tiled), _alike_tiles, "a long, b long"))
+    if not crowded.isEmpty():
+        crowded = crowded.select(F.col("key").alias("group"), "id", _tile_of(F.col("n")).alias("tile")).join(sketches, "id").select("group", "tile", "id", "sketch")
+        tiled = _tiles(crowded, C.fresh_path(spark, "leaf-tiles"), _pack_sketches)
+        edges = edges.unionByName(tiles.compared(_pairs_of(tiled), _alike_tiles, "a long, b long"))
     maybe = C.cut(connected(edges), "jaccard-maybe")
 
     sized = C.cut(maybe.groupBy(F.col("component").alias("group")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * TILE), "jaccard-large")
@@ -388,16 +402,9 @@ def _classed(docs: DataFrame, runs: int) -> tuple[DataFrame, DataFrame]:
     small = rows.join(sized, "group", "left_anti").join(who, "id").join(texts, ["doc_id", "text_hash"])
     small = small.select(F.col("group").alias("key"), "id", "weight", "text").repartition(n, "key").sortWithinPartitions("key", "id")
     links = small.mapInArrow(_checked, "id long, links long, root long")
-    # large groups: sets of like size in one tile, since a set meets none below 0.8 of its size
-    large = rows.join(sized, "group").join(same.select("id", "doc_id", "text_hash", "weight", "size"), "id")
-    large = C.cut(large.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / math.log(1.25))), "jaccard-crowd")
-    bands = C.cut(large.groupBy("group", "band").agg(F.count(F.lit(1)).alias("m")), "jaccard-bands")
-    tile = F.col("band") * 2**32 + _tile_of(F.col("m"))
-    large = large.join(bands, ["group", "band"]).select("group", tile.cast("long").alias("tile"), "id", "weight", "doc_id", "text_hash")
-    large = large.join(sketches, "id").join(texts, ["doc_id", "text_hash"]).select("group", "tile", "id", "weight", "sketch", "text")
-    crowd = _tiles(large, C.fresh_path(spark, "set-tiles"), _pack_sets, "least long, most long")
-    within = (10 * F.col("most_a") >= 8 * F.col("least_b")) & (10 * F.col("most_b") >= 8 * F.col("least_a"))
-    links = C.cut(links.unionByName(tiles.compared(_pairs_of(crowd, within), _checked_tiles, "id long, links long, root long")), "jaccard-links")
+    if not sized.isEmpty():
+        links = links.unionByName(_links_of_large(rows.join(sized, "group").join(same.select("id", "doc_id", "text_hash", "weight", "size"), "id"), sketches, texts))
+    links = C.cut(links, "jaccard-links")
 
     reach = C.cut(connected(links.select(F.col("id").alias("a"), F.col("root").alias("b"))).join(who, "id").select("id", "component", F.struct("doc_id", "text_hash").alias("own")), "jaccard-reach")
     heads = reach.groupBy("component").agg(F.min("own").alias("head"))
