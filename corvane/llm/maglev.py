@@ -4,7 +4,8 @@ and the shards take turns claiming their next free slot until the table is full.
 Shards get within one slot of equally many slots (for equal weights), and a shard that comes or goes moves few other keys. The
 table has SLOTS rows whatever the data, so it is broadcast, and placing a document is one hash and one lookup.
 
-Cases: rows without doc_id share the key ""; equal keys share a shard; empty table: empty result; other columns are ignored.
+Cases: rows without a key share the key ""; equal keys share a shard; empty table: empty result; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -61,7 +62,10 @@ def lookup(spark: SparkSession, names: list[str], slots: int = SLOTS, weights: l
 
 
 def place(df: DataFrame, key: str, names: list[str] | None = None, slots: int = SLOTS, weights: list[int] | None = None) -> DataFrame:
-    """key, slot, shard, shard_name for every row of df."""
+    """key, slot, shard, shard_name for every row of df; a key of one of the last three names comes back as key_<name>."""
     table = lookup(df.sparkSession, names or shard_names(), slots, weights)
-    rows = df.select(F.col(key), slot(F.col(key), slots).alias("slot"))
-    return rows.join(F.broadcast(table), F.col("slot") == F.col("t_slot")).drop("t_slot")
+    own = f"key_{key}" if key.lower() in ("slot", "shard", "shard_name") else key
+    found = F.col(f"`{key}`")
+    rows = df.select(found.alias("k_value"), slot(found, slots).alias("k_slot"))
+    rows = rows.join(F.broadcast(table), F.col("k_slot") == F.col("t_slot"))
+    return rows.select(F.col("k_value").alias(own), F.col("k_slot").alias("slot"), "shard", "shard_name")
