@@ -130,7 +130,9 @@ def judged(feats: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with the columns they came with. Verdicts stand beside their rows: there is no join on ids."""
-    rows = docs.select("doc_id", "lang", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"))
-    refs = C.cut(references(features(rows)), "quality-references")
-    return judged(features(rows, "held"), refs).where("kept").select("held.*")
+    """The documents that the rules keep, with the columns they came with. Figures are made once and stand beside their rows: there is no join on ids."""
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # any names pass, dots too
+    at = {c.lower(): f"c{k}" for k, c in enumerate(docs.columns)}
+    rows = plain.select(*[F.col(at[c]).alias(c) for c in ("doc_id", "lang", "text")], F.struct(*plain.columns).alias("held"))
+    feats = C.cut(features(rows, "held"), "quality")
+    return judged(feats, references(feats)).where("kept").select("held.*").toDF(*docs.columns)
