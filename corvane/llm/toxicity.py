@@ -10,7 +10,7 @@ Categories, in chain order, from `labels`: toxic; toxic_prose (toxic and of qual
 document is rejected when any category's probability is THRESHOLD or more.
 
 Cases: null or empty text: no words, probabilities from the intercepts; null labels: the row teaches that category nothing;
-several label rows of a doc_id: the greatest toxic, the least quality; no labelled rows, or none of a category: its
+several label rows of a doc_id: the greatest toxic, the least quality; several texts of one: the least teaches; no labelled rows, or none of a category: its
 probability is the share of its rows (0 without any); rows without doc_id and repeated rows: scored one by one; empty table:
 empty result; other columns are ignored by scores() and kept by keep().
 """
@@ -176,6 +176,8 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame
     order = F.xxhash64("l_id", F.lit(11))
     rows = rows.withColumn("order", order).orderBy("order", "l_id").limit(bound)
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("l_id"))  # at most `bound` rows
+    # of rows that share a doc_id the least text speaks, so that at most `bound` rows go to the driver
+    texts = texts.groupBy("doc_id", "l_id", "l_toxic", "l_quality").agg(F.min("text").alias("text"))
 
     def run(batches):
         feats = Features()
@@ -195,7 +197,7 @@ def categories(toxic: np.ndarray, quality: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Chain:
-    got = sorted(tuple(r) for r in sample(docs, labels, bound).collect())  # at most `bound` rows, and copies of them
+    got = sorted(tuple(r) for r in sample(docs, labels, bound).collect())  # at most `bound` rows
     rows = [np.frombuffer(r[4], np.uint32).astype(np.int64) for r in got]
     column = lambda k: np.array([np.nan if r[k] is None else r[k] for r in got], float)
     return Chain(fit_chain(rows, categories(column(2), column(3)), np.array([r[1] for r in got], int)))
