@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -104,10 +105,50 @@ def test_pages_give_their_articles(spark):
         assert html.main_text(r.html)[0] == want
 
 
-def test_tree_learns_its_table():
-    table = np.array(html.LABELLED, float)
-    right = sum(html.tree()(row[:-1]) == bool(row[-1]) for row in table)
-    assert right / len(table) > 0.9
+W60 = " ".join(["word"] * 60)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='page sidebar-right'><article><p>{W60}</p></article></div>",
+        f"<article class='post comments-open'><div class='entry has-comments'><p>{W60}</p></div></article>",
+        f"<form id=aspnetForm><nav><a href=1>x</a></nav><article><p>{W60}</p></article></form>",
+        f"<article><p>{W60}</p></article><section class=comments><article class=comment><p>{W60} {W60} {W60}</p></article></section>",
+        f"<main><article><p>{W60}</p></article><aside><article><p>A teaser of another text.</p></article></aside></main>",
+        f"<div class=widget-layout><div><a href=1>x</a></div><p>{W60}</p></div>",
+        f"<article><p>{W60}</p></article><footer><a href=1>About</a></footer><div><p>Another part.</p></div>",
+        f"<article><p>{W60}</p><h3>Read on</h3><ul><li><a href=1>One thing</a><li><a href=2>Another</a><li><a href=3>A third</a></ul></article>",
+    ],
+)
+def test_names_of_parts_do_not_decide_alone(page):
+    assert html.main_text(page)[0] == W60
+
+
+def test_headline_and_short_pages():
+    assert html.main_text(f"<article><div class='article-header'><h1>The headline</h1></div><p>{W60}</p></article>")[0] == f"The headline\n{W60}"
+    assert html.main_text("<body><p>Two short words here.</p><p>And these four more.</p></body>")[0] == "Two short words here.\nAnd these four more."
+    assert html.main_text(f"<article><p>{W60}</p><p>Bye.</p></article><footer><a href=1>About</a></footer>")[0] == f"{W60}\nBye."
+    assert html.main_text(f"<div hidden><article><p>{W60}</p></article></div><p>Out of sight.</p>")[0] == "Out of sight."
+
+
+def test_neighbours_decide():
+    """The same block is text among text and none among links."""
+    short, link = "<p>Five words are said here</p>", "<p><a href=1>a link of five words</a></p>"
+    for inner, kept in ((f"<p>{W60}</p>{short}<p>{W60}</p>", True), (f"<p>{W60}</p>{link * 2}{short}{link * 2}", False)):
+        assert ("Five words are said here" in html.main_text(f"<body>{inner}</body>")[0]) == kept
+    one, many = f"<article><p>{W60}</p>{link}<p>{W60}</p></article>", f"<article><p>{W60}</p>{link * 3}<p>{W60}</p></article>"
+    assert "a link" in html.main_text(one)[0] and html.main_text(many)[0].count("a link") < 3
+
+
+def test_tree_learns_its_table_and_holds_on_other_pages():
+    x, y, page = html.labelled_rows()
+    assert np.mean([html.tree()(r) == bool(v) for r, v in zip(x, y, strict=True)]) > 0.97
+    right = 0
+    for k in np.unique(page):
+        other = html.Tree(x[page != k], y[page != k])
+        right += sum(other(r) == bool(v) for r, v in zip(x[page == k], y[page == k], strict=True))
+    assert right / len(y) > 0.93
 
 
 # ---- 3
@@ -142,6 +183,34 @@ def test_every_document_has_its_slots_shard(spark):
         assert (r.slot, r.shard, r.shard_name) == (slot, table[slot], names[table[slot]])
 
 
+@here
+def test_placement_against_a_plain_table(spark):
+    """Every shard's whole preference list, turns in order, slots by hashlib: all documents."""
+    import hashlib
+
+    def number(what, name):
+        return int.from_bytes(hashlib.md5(f"{what}:{name}".encode()).digest()[:8], "big")
+
+    size, names = maglev.SLOTS, maglev.shard_names()
+    prefers = [iter([(number("offset", n) + j * (number("skip", n) % (size - 1) + 1)) % size for j in range(size)]) for n in names]
+    table = {}
+    while len(table) < size:
+        for k, slots in enumerate(prefers):
+            if len(table) < size:
+                table[next(s for s in slots if s not in table)] = k
+    want = []
+    for (doc_id,) in C.table(spark, DATA, "documents").select("doc_id").collect():
+        slot = int(hashlib.md5(str(doc_id).encode()).hexdigest()[:15], 16) % size
+        want.append((doc_id, slot, table[slot], names[table[slot]]))
+    assert sorted(map(tuple, queries.op3_permutation_table(spark, DATA).collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("key", ["slot", "Shard", "shard_name", "t_slot", "k_value", "a.b"])
+def test_keys_of_any_name(spark, key):
+    got = maglev.place(spark.createDataFrame([(7, 1), (None, 2)], "a long, b long").toDF(key, "k_slot"), key)
+    assert len(set(got.columns)) == 4 and sorted((r[0], r[1]) for r in got.collect() if r[0]) == [(7, r[1]) for r in got.collect() if r[0]]
+
+
 # ---- 4
 
 
@@ -170,6 +239,86 @@ def test_members_round_trip_and_stop_where_cut(tmp_path):
         assert list(warc.members(f, 777)) == raws[:-1]
 
 
+def test_damage_costs_its_record_only(tmp_path):
+    raws = [warc.response(k, f"http://x/{k}", " ".join(f"<p>w{k * j}" for j in range(200))) for k in range(60)]
+    packed = [warc.member(r) for r in raws]
+    for hit in (0, 1, 30, 59):
+        for bad in (packed[hit][: len(packed[hit]) // 2], packed[hit][:20] + b"\x00\xff" * 8 + packed[hit][36:], b"no gzip at all", packed[hit][:-8] + b"12345678"):
+            (tmp_path / "f").write_bytes(b"".join([*packed[:hit], bad, *packed[hit + 1 :]]))
+            for step in (100, 1 << 17):
+                lost = []
+                with open(tmp_path / "f", "rb") as f:
+                    assert list(warc.members(f, step, lost)) == [r for k, r in enumerate(raws) if k != hit]
+                assert len(lost) == 1
+
+
+def test_skipped_records_are_counted_and_a_rerun_leaves_the_same_files(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://x/{k}", "<p>" + "word " * k) for k in range(30)], "page_id long, url string, html string").repartition(3)
+    made = warc.write_responses(pages, f"file://{tmp_path}/in")
+    path = made.orderBy("path").first().path.removeprefix("file://")
+    n = made.orderBy("path").first().n
+    data = open(path, "rb").read()
+    starts = [m.start() for m in re.finditer(re.escape(warc.MAGIC), data)]
+    at = starts[len(starts) // 2] + 40
+    open(path, "wb").write(data[:at] + b"\x00\xff\x00\xff" + data[at + 4 :] + warc.member(warc.record([("WARC-Type", "warcinfo")], b"x")))
+    first = warc.write_derivatives(made, f"file://{tmp_path}/out")
+    rows = {r.path: (r.n, r.skipped) for r in first.collect()}
+    assert sum(n for n, _ in rows.values()) == 29 and sorted(s for _, s in rows.values()) == [0] * (len(rows) - 1) + [2] and n > 2
+    files = {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()}
+    again = warc.write_derivatives(made.repartition(1), f"file://{tmp_path}/out")  # dealt otherwise
+    assert {r.path: (r.n, r.skipped) for r in again.collect()} == rows and {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()} == files
+    read = warc.read_records(made).collect()
+    assert collections.Counter(r.record_type for r in read) == {"response": 29, "damaged": 1, "warcinfo": 1}
+    assert warc.read_records(first).count() == 58
+
+
+def visible(page):
+    """Plain text of simple pages by the standard library's parser, words only."""
+    from html.parser import HTMLParser
+
+    class P(HTMLParser):
+        out, off = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.off += tag in ("script", "style", "title")
+            self.out.append(" ")
+
+        def handle_endtag(self, tag):
+            self.off -= tag in ("script", "style", "title")
+            self.out.append(" ")
+
+        def handle_data(self, data):
+            self.out.append("" if self.off else data)
+
+    p = P()
+    p.out = []
+    p.feed(page)
+    p.close()
+    return "".join(p.out).split()
+
+
+@here
+def test_records_against_a_plain_reading(spark):
+    """Conversion texts, ids and digests of all pages, made here with other means."""
+    import base64
+    import hashlib
+
+    pages = {r.page_id: r for r in C.table(spark, DATA, "pages").collect()}
+    made = warc.write_derivatives(warc.write_responses(C.table(spark, DATA, "pages"), C.fresh_path(spark, "w")), C.fresh_path(spark, "w"))
+    assert made.agg(F.sum("n"), F.sum("skipped")).first()[:] == (len(pages), 0)
+    got = warc.read_records(made, with_block=True).collect()
+    assert len(got) == 2 * len(pages) and len({r.record_id for r in got}) == len(got)
+    for r in got:
+        page, block = pages[r.page_id], r.block.encode()
+        assert r.block_digest == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode() and r.content_length == len(block)
+        assert r.refers_to == f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, page.url + chr(0) + str(page.page_id))}>"
+        if r.record_type == "conversion":
+            assert r.block.split() == visible(page.html) and r.n_chars == len(r.block)
+        else:
+            fields = dict(x.split(": ", 1) for x in r.block.split("\r\n") if ": " in x)
+            assert fields["title"] == " ".join(html.html.unescape(page.html.split("<title>")[1].split("</title>")[0]).split()) and int(fields["links"]) == page.html.count("<a ")
+
+
 @here
 def test_two_records_for_every_page(spark):
     got = queries.op4_warc_derivatives(spark, DATA).collect()
@@ -294,6 +443,36 @@ def test_toxic_documents_held_out(spark):
     assert sum(caught) / len(caught) > 0.9 and sum(spared) / len(spared) > 0.995
 
 
+@here
+def test_scores_against_a_plain_chain(spark, documents):
+    """All documents: labels, folds, features and the chain's products taken apart row by row."""
+    import pandas as pd
+
+    labels = pd.read_parquet(f"{DATA}/labels.parquet")
+    texts = {d[0]: d[1] for d in documents}
+    found = {k: {f for w in set((t or "").split()) for f in toxicity.word_features(w)} for k, t in texts.items()}
+    fold = {r.i: r.f for r in spark.createDataFrame([(int(k),) for k in labels.doc_id], "i long").select("i", F.pmod(F.xxhash64("i", F.lit(12)), F.lit(toxicity.FOLDS)).alias("f")).collect()}
+    rows = [r for r in labels.sort_values("doc_id").itertuples() if r.doc_id in texts]
+    toxic, quality_ = (np.array([float(getattr(r, c)) for r in rows]) for c in ("toxic", "quality"))
+    y = np.column_stack([toxic, np.where(toxic == 0, 0.0, toxic * (quality_ == 1)), np.where(toxic == 0, 0.0, toxic * (quality_ == 0))])
+    models = toxicity.fit_chain([np.array(sorted(found[r.doc_id])) for r in rows], y, np.array([fold[r.doc_id] for r in rows]))
+    got = {r.doc_id: r for r in queries.op7_classifier_chain(spark, DATA).collect()}
+    assert len(got) == len(documents)
+    for k in texts:
+        before = []
+        for m in models:
+            score = m.bias + sum(m.weights[m.choice[f]] for f in found[k] if f in m.choice) + sum(a * b for a, b in zip(m.extra, before, strict=True))
+            before.append(1 / (1 + math.exp(-max(-30, min(30, score)))))
+        assert got[k][1:4] == pytest.approx(before, abs=1e-9) and got[k].rejected == (max(before) >= toxicity.THRESHOLD) == (not got[k].kept)
+
+
+def test_repeated_documents_teach_once(spark):
+    docs = spark.createDataFrame([(1, "b")] * 50 + [(1, "a"), (2, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (1, 0, 1)], "doc_id long, toxic int, quality int")
+    got = toxicity.sample(docs, labels).collect()
+    assert sorted((r.doc_id, r.toxic, r.quality, np.frombuffer(r.feats, np.uint32).tolist()) for r in got) == [(1, 1.0, 0.0, [zlib.crc32(b"a")]), (2, 0.0, 1.0, [zlib.crc32(b"c")])]
+
+
 # ---- 8
 
 
@@ -320,6 +499,20 @@ def test_neardup_against_all_pairs(spark, monkeypatch, tile):
     assert got == [(i, int(linked[i].sum()), int(root[i]), bool(root[i] == i)) for i in range(len(rows))]
 
 
+def test_repeated_ids_and_labels_in_one_tile(spark, monkeypatch):
+    """Rows that share a vec_id keep their own vectors; many labels share tiles; a component has its least vec_id."""
+    monkeypatch.setattr(neardup, "TILE", 5)
+    rows = [(i % 50, v, k if k is None else i % 40) for i, (_, v, k) in enumerate(vectors(6, 200))]
+    got = collections.Counter(tuple(r)[:3] for r in neardup.duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    m = np.array([r[1] for r in rows])
+    cos = m @ m.T / np.outer(np.linalg.norm(m, axis=1), np.linalg.norm(m, axis=1))
+    label = np.array([-i - 1 if r[2] is None else r[2] for i, r in enumerate(rows)])
+    linked = (cos >= 0.98) & (label[:, None] == label[None]) & ~np.eye(len(rows), dtype=bool)
+    root = components.linked_roots(linked)
+    least = {r: min(rows[i][0] for i in np.flatnonzero(root == r)) for r in set(root)}
+    assert got == collections.Counter((rows[i][0], int(linked[i].sum()), least[root[i]]) for i in range(len(rows)))
+
+
 def test_bounds_lose_nothing():
     rng = np.random.default_rng(1)
     a = rng.normal(size=(60, 64))
