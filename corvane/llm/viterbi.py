@@ -57,8 +57,13 @@ class Vocabulary:
                 scores.append(model.get_score(i))
         self.longest = max(map(len, self.arcs), default=1)
         self.fallback = min((s for s in scores if s > -1e8), default=0.0) - 10  # a character spelt in bytes
-        self.prefixes = {p[:k] for p in self.arcs for k in range(1, len(p))}
-        self.steps = {p: self.arcs.get(p) for p in self.prefixes | set(self.arcs)}  # of pieces and their beginnings
+        self.tree: dict = {}  # by the next character: [score or None, id, tree of what may follow]
+        for piece, (score, i) in self.arcs.items():
+            level = self.tree
+            for c in piece[:-1]:
+                level = level.setdefault(c, [None, -1, {}])[2]
+            node = level.setdefault(piece[-1], [None, -1, {}])
+            node[:2] = score, i
         self.splits_at_blanks = not any(BLANK in p.lstrip(BLANK) for p in self.arcs)
 
     def spell(self, char: str) -> list[int]:
@@ -66,7 +71,7 @@ class Vocabulary:
 
 
 class Stream:
-    """push() text, get ids as they become certain; finish() gives the rest and makes ready for another text.
+    """push() text, get ids as they become certain; finish() takes the last of it, gives the rest and makes ready for another text.
 
     Between two calls only the text after the last committed boundary is held, with a score and a backpointer per position. The
     positions that a path may still end at lie between `at` and `reach`, at most the longest piece apart.
@@ -94,7 +99,8 @@ class Stream:
             self.at, self.reach = self.at - done, self.reach - done
         return out
 
-    def finish(self) -> list[int]:
+    def finish(self, last: str = "") -> list[int]:
+        self.text += last
         out: list[int] = []
         done = self._run(len(self.text), out)
         self._commit(done, len(self.text), out)
@@ -104,7 +110,7 @@ class Stream:
     def _run(self, until: int, out: list[int]) -> int:
         """Leave every position before `until`; the last committed boundary."""
         text, best, back, size = self.text, self.best, self.back, len(self.text)
-        steps, fallback, longest = self.v.steps, self.v.fallback, self.v.longest
+        tree, fallback, patience = self.v.tree, self.v.fallback, 4 * self.v.longest
         new = size + 1 - len(best)
         best += [_NEG] * new
         back += [(0, -1)] * new
@@ -116,26 +122,30 @@ class Stream:
                     self._commit(done, i, out)
                     done = traced = i
                 best[i] = 0.0  # what lies behind weighs on all paths alike
-            elif i - traced >= 4 * longest:
+            elif i - traced >= patience:
                 meet = self._meeting(i, reach)
                 self.widest = max(self.widest, reach - done)
                 self._commit(done, max(meet, done), out)
                 done, traced = max(meet, done), i
             base = best[i]
-            if steps.get(text[i]) is None:
-                reach = max(reach, i + 1)
-                if base + fallback > best[i + 1]:
-                    best[i + 1], back[i + 1] = base + fallback, (i, -1)
-            for j in range(i + 1, min(size, i + longest) + 1):
-                arc = steps.get(text[i:j], 0)
-                if arc:
+            node = tree.get(text[i])
+            j = i + 1
+            if node is None or node[0] is None:
+                if j > reach:
+                    reach = j
+                if base + fallback > best[j]:
+                    best[j], back[j] = base + fallback, (i, -1)
+            while node is not None:
+                if node[0] is not None:
                     if j > reach:
                         reach = j
-                    score = base + arc[0]
+                    score = base + node[0]
                     if score > best[j]:
-                        best[j], back[j] = score, (i, arc[1])
-                elif arc == 0:
+                        best[j], back[j] = score, (i, node[1])
+                if j == size:
                     break
+                node = node[2].get(text[j])
+                j += 1
             i += 1
         self.at, self.reach = i, reach
         return done
@@ -184,12 +194,13 @@ class Encoder:
         self.older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
-        """The streaming search over a text in portions."""
-        s = self.stream
+        """The streaming search over a text in portions, the last of which finish() takes."""
+        s, k = self.stream, 0
         out: list[int] = []
-        for k in range(0, len(text), PORTION):
+        while len(text) - k > PORTION:
             out += s.push(text[k : k + PORTION])
-        out += s.finish()
+            k += PORTION
+        out += s.finish(text[k:])
         return struct.pack(f"<{len(out)}I", *out)
 
     def _fresh(self, stretch: str) -> bytes:
