@@ -140,7 +140,7 @@ def any_of(terms: list[str], flags: str = "(?iU)", whole: bool = True) -> str:
 def numbering(c) -> Column:
     """[1, 2, 3] of '1.2.3 Title'; null without a number."""
     found = F.regexp_extract(col(c), r"^((?:\d+\.)*\d+)\.?\s+\S", 1)
-    return F.when(F.length(found) > 0, F.transform(F.split(found, r"\."), lambda x: x.cast("int")))
+    return F.when(F.length(found) > 0, F.transform(F.split(found, r"\."), lambda x: x.try_cast("int")))
 
 
 def number_ratio(c) -> Column:
