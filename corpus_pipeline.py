@@ -1,4 +1,11 @@
-"""The corpus pipeline: stages over the table documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over the table documents, each written as Parquet and read again by the next.
+
+Cases: null or empty text: no toxic words, then too short for the quality rules, so it goes there; null lang or source: the base
+rules alone, a source of its own in the mix; null doc_id: no near copy of anything, all else as for other rows; rows that share doc_id
+and text: one of them stays in the join, told by a hash of all columns; rows that share doc_id only: each is a document of its own;
+ties (equal hashes in the mix): broken as mixing.py says; very long texts: whole, in every stage; empty table: no rows; more columns,
+whatever their names: all stages but the last pass them on.
+"""
 
 from __future__ import annotations
 

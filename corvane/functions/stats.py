@@ -180,11 +180,14 @@ def paired_boot(df: DataFrame, base: str, system: str, by: list[str], seed: int
     return df.select(*by, (F.col(system) - F.col(base)).cast("double").alias("_d")).groupBy(*by).applyInPandas(run, schema)
 
 
-def nearest_rank(x, q: float) -> Column:
-    """The q-th value of a sorted group, not interpolated: element int(q * n) from 0; 0 for an empty group."""
-    a = F.array_sort(F.collect_list(x))
-    n = F.size(a)
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.get(a, F.least(n - 1, F.floor(F.lit(q) * n).cast("int"))))
+def nearest_rank(df: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """by and a column per share: the value of a group's sorted values at int(share * n) from 0, not interpolated; 0 without values. Values are sorted, never gathered."""
+    rows, kind = df.select(*by, value), dict(df.dtypes)[value]
+    w = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
+    n = F.count(value).over(Window.partitionBy(*by))
+    placed = rows.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", n)
+    at = lambda q: F.least(F.col("_n") - 1, F.floor(F.lit(q) * F.col("_n")))
+    return placed.groupBy(*by).agg(*[F.coalesce(F.max(F.when(F.col("_i") == at(q), F.col(value))), F.lit(0).cast(kind)).alias(name) for name, q in shares.items()])
 
 
 # ---- allocation

@@ -20,32 +20,44 @@ def shingles(c, n: int = 8) -> Column:
     return X.let(X.tokens(c), lambda t: F.when(F.size(t) >= n, grams(t)).otherwise(F.array().cast("array<string>")))
 
 
+def shingle_hashes(c, n: int = 8) -> Column:
+    """Distinct hashes of the n-word shingles: every word is hashed once, a shingle is the hash of n of those."""
+    grams = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])))
+    return X.let(F.transform(X.tokens(c), lambda w: F.xxhash64(w)), lambda w: F.when(F.size(w) >= n, grams(w)).otherwise(F.array().cast("array<bigint>")))
+
+
 def sampled(hashes: Column, mod: int = 8) -> Column:
     """Consistent sample of hashes: the same ones from any text that holds them."""
     return F.filter(hashes, lambda h: F.pmod(h, F.lit(mod)) == 0)
 
 
 def shingle_table(df: DataFrame, key: str, text: str, n: int = 8, mod: int = 1) -> DataFrame:
-    """key, h: hashes of the text's shingles, all or a consistent sample of 1 / mod."""
-    hashes = F.transform(shingles(text, n), lambda s: F.xxhash64(s))
-    return df.select(key, F.explode(sampled(hashes, mod) if mod > 1 else hashes).alias("h")).distinct()
+    """key, h: hashes of the text's shingles, all or a consistent sample of 1 / mod. df has a row per key."""
+    hashes = shingle_hashes(text, n)
+    return df.select(key, F.explode(sampled(hashes, mod) if mod > 1 else hashes).alias("h"))
 
 
-def containment_pairs(table: DataFrame, key: str, threshold: float = 0.6, most_shared: int | None = None) -> DataFrame:
-    """a < b, common, containment (share of the smaller set): pairs at the threshold or above, by an inverted index on shingle hashes.
+def containment_pairs(table: DataFrame, key: str, threshold: float = 0.6) -> DataFrame:
+    """a < b, common, containment (share of the smaller set): pairs at the threshold or above. table: key, h, distinct rows.
 
-    The pairs that a hash yields grow with the square of the keys that hold it; most_shared leaves out hashes of more keys than that
-    (boilerplate), which can only lower a containment. None keeps all.
+    Of a set of n hashes, any n - ceil(threshold * n) + 1 hold one that it shares with a partner at the threshold; the rarest ones are
+    looked up in the sets that are as large or larger. Boilerplate so proposes pairs only for sets that hold little else. Candidates are
+    then intersected whole.
     """
-    size = table.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    use = table
-    if most_shared:
-        often = table.groupBy("h").agg(F.count(F.lit(1)).alias("keys")).where(F.col("keys") <= most_shared)
-        use = table.join(often, "h")
-    left, right = use.select(F.col(key).alias("a"), "h"), use.select(F.col(key).alias("b"), "h")
-    common = left.join(right, "h").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
-    sized = common.join(size.select(F.col(key).alias("a"), F.col("n").alias("n_a")), "a").join(size.select(F.col(key).alias("b"), F.col("n").alias("n_b")), "b")
-    return sized.withColumn("containment", F.col("common") / F.least("n_a", "n_b")).where(F.col("containment") >= threshold).select("a", "b", "common", "containment")
+    n = F.size("hashes")
+    often = table.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    shared = table.join(often, "h")
+    sets = table.groupBy(key).agg(F.collect_list("h").alias("hashes")).withColumn("n", n)
+    sized = shared.join(sets.select(key, "n"), key)
+    # hashes of one set only come first in its order, so what it shares starts behind them
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("f", "h")) + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy(key))
+    prefix = sized.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
+    small = prefix.select(F.col(key).alias("s"), F.col("n").alias("ns"), "h")
+    large = sized.select(F.col(key).alias("l"), F.col("n").alias("nl"), "h")
+    found = small.join(large, "h").where("nl > ns or (nl = ns and l > s)").select("s", "l").distinct()
+    both = found.join(sets.select(F.col(key).alias("s"), F.col("hashes").alias("hs"), F.col("n").alias("ns")), "s").join(sets.select(F.col(key).alias("l"), F.col("hashes").alias("hl")), "l")
+    both = both.withColumn("common", F.size(F.array_intersect("hs", "hl")).cast("long")).withColumn("containment", F.col("common") / F.col("ns"))
+    return both.where(F.col("containment") >= threshold).select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b"), "common", "containment")
 
 
 def exact_groups(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +19,54 @@ def top_k(scored: DataFrame, query: str, item: str, score: str, k: int) -> DataF
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query, item, score, "rank")
 
 
-def dense_top_k(queries: DataFrame, corpus: DataFrame, query: str, item: str, k: int) -> DataFrame:
-    """Inner-product search of a stated query set (query, q_vec) against all rows (item, vec): the queries are broadcast in Spark's own
-    choice of join, scores never leave the row."""
-    pairs = corpus.select(item, "vec").join(queries.select(query, "q_vec"), how="cross")
-    return top_k(pairs.select(query, item, dot("q_vec", "vec").alias("score")), query, item, "score", k)
+#: Queries that go to every task at once.
+QUERIES = 4096
+
+
+def dense_top_k(queries: DataFrame, corpus: DataFrame, query: str, item: str, k: int, digits: int = 9) -> DataFrame:
+    """Inner-product search of a stated query set (query, q_vec) against all rows (item, vec): query, item, score, rank.
+
+    The queries go through the corpus in blocks of about QUERIES, each a matrix that every task multiplies its rows with; a task keeps the k
+    best of each query, and those are merged by query. Scores are rounded, so that equal vectors tie; ties go to the lesser item.
+    """
+    asked = queries.where("q_vec is not null").select(query, F.col("q_vec").cast("array<double>").alias("q_vec"))
+    blocks = max(1, -(-asked.count() // QUERIES))
+    kinds = dict(queries.dtypes)[query], dict(corpus.dtypes)[item]
+    rows = corpus.where("vec is not null").select(item, F.col("vec").cast("array<double>").alias("vec"))
+    parts = None
+    for b in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b).toArrow()
+        part = rows.mapInArrow(_best_of(block, query, item, k, digits), f"{query} {kinds[0]}, {item} {kinds[1]}, score double")
+        parts = part if parts is None else parts.unionByName(part)
+    return top_k(parts, query, item, "score", k)
+
+
+def _best_of(block: pa.Table, query: str, item: str, k: int, digits: int):
+    names = block.column(query).combine_chunks()
+    matrix = np.array(block.column("q_vec").to_pylist(), float).reshape(len(names), -1)
+
+    def run(batches):
+        items, scores = [None] * len(names), [None] * len(names)  # the best so far of each query
+        kind = None
+        for batch in batches:
+            if not batch.num_rows or not len(names):
+                continue
+            kind, own = batch.column(0).type, np.array(batch.column(0).to_pylist())
+            found = np.round(np.array(batch.column(1).to_pylist(), float) @ matrix.T, digits)
+            for q in range(len(names)):
+                s, i = found[:, q], own
+                if len(s) > k:  # all that tie with the k-th stay
+                    near = s >= np.partition(s, len(s) - k)[len(s) - k]
+                    s, i = s[near], i[near]
+                if items[q] is not None:
+                    s, i = np.concatenate([scores[q], s]), np.concatenate([items[q], i])
+                best = np.lexsort((i, -s))[:k]
+                scores[q], items[q] = s[best], i[best]
+        if kind is not None:
+            at = np.repeat(np.arange(len(names)), [len(x) for x in items])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), pa.array(np.concatenate(items).tolist(), kind), pa.array(np.concatenate(scores))], [query, item, "score"])
+
+    return run
 
 
 def term_counts(df: DataFrame, key: str, text: str, stop: list[str] | None = None) -> DataFrame:

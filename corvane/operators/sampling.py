@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,59 +42,72 @@ def interleaved(df: DataFrame, strata: list[str], key: str, total: int, seed: in
     return picked.withColumn("pos", F.row_number().over(Window.orderBy("place", *strata)) - 1)  # `total` rows
 
 
+#: Ranges of the draw in which positions are counted.
+RANGES = 1 << 14
+
+
+def placed_by_draw(units: DataFrame, unit: str, seed: int) -> DataFrame:
+    """units with place: 1, 2, ... in the order of (draw, unit). Rows are numbered within ranges of the draw, and the counts of the ranges before (RANGES rows) are added."""
+    rows = units.withColumn("_draw", draw(seed, unit)).withColumn("_range", F.shiftright("_draw", 60 - (RANGES.bit_length() - 1)))
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # RANGES rows at most
+    n = F.row_number().over(Window.partitionBy("_range").orderBy("_draw", unit))
+    return rows.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range").withColumn("place", F.col("_before") + n).drop("_draw", "_range", "_before")
+
+
 def split_rest(df: DataFrame, unit: str, val: float = 0.05, test: float = 0.10, seed: int = 42) -> DataFrame:
     """Each row's split by its unit (all rows of a unit together): the first round(n * val) units by draw, then round(n * test), then train."""
     units = df.select(unit).distinct()
     n = units.count()
-    order = Window.orderBy("_draw", unit)  # one row per unit
-    placed = units.withColumn("_draw", draw(seed, unit)).withColumn("_n", F.row_number().over(order))
     n_val, n_test = round(n * val), round(n * test)
-    name = F.when(F.col("_n") <= n_val, "val").when(F.col("_n") <= n_val + n_test, "test_indomain").otherwise("train")
-    return df.join(placed.select(unit, name.alias("split")), unit)
-
-
-def choose_heldout(summary: list[tuple], share: float = 0.12, least: int = 10, most: int = 15, seed: int = 42) -> tuple[list, set]:
-    """Whole groups to hold out, from one row per group: (group, folder, n_pairs, dimensions).
-
-    Each step takes the group that brings most new dimensions and fits best into the room its folder has left; a folder's room is its
-    part of the target. Groups above half the target are never taken. Returns the groups in order, and the dimensions they miss.
+    name = F.when(F.col("place") <= n_val, "val").when(F.col("place") <= n_val + n_test, "test_indomain").otherwise("train")
+    return df.join(placed_by_draw(units, unit, seed).select(unit, name.alias("split")), unit)
+
+
+def round_robin(df: DataFrame, stratum: str, key: str) -> DataFrame:
+    """df with pos: the first of each stratum, then the second ... A row's position follows from its place in its stratum and the sizes of all strata, so no task numbers all rows; the sizes (a row per stratum) are broadcast as Spark sees fit."""
+    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_size"))
+    rows = df.withColumn("_place", F.row_number().over(Window.partitionBy(stratum).orderBy(key)))
+    places = rows.groupBy("_place").agg(F.count(F.lit(1)).alias("_wide"))  # strata that reach the place
+    # rows in earlier turns: a running sum over turns, as many as the largest stratum has rows, in ranges of turns
+    turns = places.withColumn("_range", F.shiftright("_place", 12))
+    base = turns.groupBy("_range").agg(F.sum("_wide").alias("_sum"))
+    base = base.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_range", "_base")
+    within = F.coalesce(F.sum("_wide").over(Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    turns = turns.withColumn("_within", within).join(base, "_range").select("_place", (F.col("_base") + F.col("_within")).alias("_before"))
+    in_turn = F.row_number().over(Window.partitionBy("_place").orderBy(stratum))
+    return rows.withColumn("_in_turn", in_turn).join(turns, "_place").withColumn("pos", F.col("_before") + F.col("_in_turn") - 1).drop("_place", "_in_turn", "_before")
+
+
+def heldout_groups(pairs: DataFrame, group: str, folder: str, dimension: str, share: float = 0.12, least: int = 10, most: int = 15, seed: int = 42) -> DataFrame:
+    """Whole groups to hold out, at most `most` rows: first cover, then fill.
+
+    Cover: for each dimension the smallest eligible group that has it. Fill: of the others, folder by folder in the order of the draw,
+    as many as fit into what the cover left of the folder's part of the target (share of all pairs). At least `least` groups where there
+    are so many. Groups above half the target are not eligible.
     """
-    total = sum(r[2] for r in summary)
+    groups = pairs.groupBy(group).agg(F.min(folder).alias("_folder"), F.count(F.lit(1)).alias("_n")).withColumn("_draw", draw(seed, group))
+    total = pairs.count()
     target = share * total
-    room = defaultdict(float)
-    for _, folder, n, _ in summary:
-        room[folder] += target * n / total
-    import hashlib
-
-    left = sorted((r for r in summary if r[2] <= max(target / 2, 1)), key=lambda r: hashlib.md5(f"{seed}|{r[0]}".encode()).hexdigest())
-    chosen, covered, held = [], set(), 0
-
-    def gain(r) -> float:
-        free = room[r[1]]
-        return -1.0 if free <= 0 else 2 * len(set(r[3]) - covered) + 1 - abs(free - r[2]) / max(free, 1)
-
-    while left and len(chosen) < most:
-        best = max(left, key=gain)
-        if gain(best) < 0 and len(chosen) >= least:
-            break
-        left.remove(best)
-        chosen.append(best[0])
-        room[best[1]] -= best[2]
-        held += best[2]
-        covered |= set(best[3])
-        if held >= target and len(chosen) >= least:
-            break
-    return chosen, {d for r in summary for d in r[3]} - covered
+    fit = groups.where(F.col("_n") <= max(target / 2, 1.0))
+    of_dimension = pairs.select(group, dimension).distinct().join(fit, group).groupBy(dimension).agg(F.min_by(group, F.struct("_n", "_draw")).alias(group))
+    cover = fit.join(of_dimension.select(group).distinct(), group, "left_semi").orderBy("_n", "_draw").limit(most)
+    taken = cover.groupBy("_folder").agg(F.sum("_n").alias("_taken"))
+    rooms = groups.groupBy("_folder").agg(F.sum("_n").alias("_all")).join(taken, "_folder", "left")
+    rooms = rooms.select("_folder", (F.lit(target) * F.col("_all") / total - F.coalesce("_taken", F.lit(0))).alias("_room"))
+    w = Window.partitionBy("_folder").orderBy("_draw")
+    rest = fit.join(cover.select(group), group, "left_anti").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most)
+    rest = rest.join(rooms, "_folder").withColumn("_fits", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) <= F.col("_room"))
+    n_cover = cover.count()
+    more = max(least - n_cover, min(rest.where("_fits").count(), most - n_cover), 0)
+    return cover.select(group).unionByName(rest.orderBy(F.desc("_fits"), "_rn", "_draw").limit(more).select(group))
 
 
 def make_splits(pairs: DataFrame, group: str, folder: str, unit: str, dimension: str, seed: int = 42, **heldout) -> DataFrame:
-    """pairs with split: held-out groups, then the rest by unit. The driver sees one row per group."""
-    summary = pairs.groupBy(group).agg(F.min(folder).alias("f"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set(dimension)).alias("d")).orderBy(group).collect()
-    chosen, _ = choose_heldout([tuple(r) for r in summary], seed=seed, **heldout)
-    spark = pairs.sparkSession
-    held = spark.createDataFrame([(g,) for g in chosen], f"{group} {dict(pairs.dtypes)[group]}") if chosen else pairs.select(group).limit(0)
-    rest = split_rest(pairs.join(held, group, "left_anti"), unit, seed=seed)
-    return rest.unionByName(pairs.join(held, group, "left_semi").withColumn("split", F.lit("test_heldout_docs")))
+    """pairs with split: held-out groups, then the rest by unit."""
+    held = heldout_groups(pairs, group, folder, dimension, seed=seed, **heldout)
+    rest = split_rest(pairs.join(F.broadcast(held), group, "left_anti"), unit, seed=seed)  # held: at most `most` rows
+    return rest.unionByName(pairs.join(F.broadcast(held), group, "left_semi").withColumn("split", F.lit("test_heldout_docs")))
 
 
 def covering_splits(pairs: DataFrame, group: str, folder: str, unit: str, dimension: str, seed: int = 42, tries: int = 5, **heldout) -> tuple[DataFrame, int, int]:

@@ -26,8 +26,12 @@ ONE = "*"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder: below spark.checkpoint.dir where that is set, else a temporary one of this machine."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + os.path.join(tempfile.gettempdir(), "corvane-scratch")
+    """A fresh folder: below spark.checkpoint.dir where that is set, else, on a local master only, a temporary one of this machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "corvane-scratch")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -119,8 +123,8 @@ def d03_near_duplicates(spark, d):
 
 @query()
 def d04_similar_titles(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"))
-    return D.similar_titles(t, "doc_id", "title")
+    t = table(spark, d, "pages").select("page_id", F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title", 1).alias("title"))
+    return D.similar_titles(t, "page_id", "title")
 
 
 @query("SELECT text_hash, n_chars, doc_id FROM (SELECT sha256(text) AS text_hash, n_chars, doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY n_chars DESC, doc_id DESC) AS r FROM documents) WHERE r = 1")
@@ -139,12 +143,11 @@ def d06_ordered_dedup(spark, d):
 # ---- vectors and retrieval
 
 
-@query("WITH q AS (SELECT vec_id AS q, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q, vec_id AS i, list_inner_product(q.e, CAST(x.embedding AS DOUBLE[])) AS s FROM q, embeddings x), k AS (SELECT q, i, row_number() OVER (PARTITION BY q ORDER BY s DESC, i) AS rank FROM s) SELECT q, CAST(count(*) AS BIGINT) AS n, bool_or(q = i) AS found_itself FROM k WHERE rank <= 10 GROUP BY q")
+@query("WITH q AS (SELECT vec_id AS q, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q, vec_id AS i, round(list_inner_product(q.e, CAST(x.embedding AS DOUBLE[])), 9) AS s FROM q, embeddings x) SELECT q, i, CAST(row_number() OVER (PARTITION BY q ORDER BY s DESC, i) AS INTEGER) AS rank FROM s QUALIFY rank <= 10")
 def v02_dense_top_k(spark, d):
     e = table(spark, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("q_vec"))  # the stated query set
-    top = R.dense_top_k(q, e.select(F.col("vec_id").alias("i"), F.col("embedding").alias("vec")), "q", "i", 10)
-    return top.groupBy("q").agg(F.count(ONE).alias("n"), F.bool_or(F.col("q") == F.col("i")).alias("found_itself"))
+    return R.dense_top_k(q, e.select(F.col("vec_id").alias("i"), F.col("embedding").alias("vec")), "q", "i", 10).select("q", "i", "rank")
 
 
 @query("SELECT doc_id, sha256(text) AS hash FROM documents WHERE doc_id % 3 = 0")
@@ -244,13 +247,13 @@ def z03_extra_per_dimension(spark, d):
     return best.select("source", "b.lang", "b.doc_id").withColumn("rn", rn).where("rn <= 3").select("lang", "source", "doc_id")
 
 
-@query("SELECT * FROM (VALUES ('application', 20, 20), ('definition', 27, 0), ('explanation', 26, 0), ('factual', 27, 0)) t(q_type, n, hard)")
+@query("WITH t(q_type, w, o, h) AS (VALUES ('factual', 20, 0, 4), ('definition', 20, 1, 3), ('explanation', 20, 2, 2), ('application', 15, 3, 1)), r AS (SELECT *, 100.0 * w / sum(w) OVER () AS raw FROM t), q AS (SELECT *, floor(raw) + CASE WHEN row_number() OVER (ORDER BY round(raw - floor(raw), 9) DESC, o) <= 100 - sum(floor(raw)) OVER () THEN 1 ELSE 0 END AS n FROM r) SELECT q_type, CAST(n AS INTEGER) AS n, CAST(greatest(0, least(n, 20 - coalesce(sum(n) OVER (ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS INTEGER) AS hard FROM q")
 def z04_slots(spark, d):
     s = Z.slots(spark, {"factual": 20, "definition": 20, "explanation": 20, "application": 15}, {"easy": 35, "medium": 45, "hard": 20}, ["application", "explanation", "definition", "factual"], 100)
     return s.groupBy("q_type").agg(F.count(ONE).cast("int").alias("n"), F.count_if(F.col("difficulty") == "hard").cast("int").alias("hard"))
 
 
-@query()
+@query("WITH s AS (SELECT source, lang, greatest(1, CAST(round_even(60.0::DOUBLE * count(*) / sum(count(*)) OVER (), 0) AS INTEGER)) AS want FROM documents GROUP BY ALL), p AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY " + DRAW.format(seed=0, key="doc_id") + ", doc_id) AS n FROM documents) SELECT doc_id, source, lang FROM p JOIN s USING (source, lang) WHERE n <= want ORDER BY " + DRAW.format(seed=1, key="doc_id") + ", doc_id LIMIT 60")
 def z05_stratified_at_least_one(spark, d):
     return Z.stratified_at_least_one(table(spark, d, "documents").select("doc_id", "source", "lang"), ["source", "lang"], "doc_id", 60).select("doc_id", "source", "lang")
 
@@ -290,7 +293,10 @@ def z10_dev_test_split(spark, d):
     return p.select("qa_id", "q_type", (F.row_number().over(w.orderBy(Z.draw(42, "qa_id"))) <= F.floor(F.count(ONE).over(w) * 0.2)).alias("dev"))
 
 
-@query()
+HELD = PAIRS + ", g AS (SELECT doc_group AS g, min(folder) AS f, count(*) AS n, " + DRAW.format(seed=42, key="doc_group") + " AS dr FROM pairs GROUP BY doc_group), t AS (SELECT sum(n) AS total, 0.12::DOUBLE * sum(n) AS target FROM g), e AS (SELECT g.* FROM g, t WHERE n <= greatest(target / 2, 1)), c0 AS (SELECT arg_min(e.g, (e.n, dr)) AS g FROM pairs p JOIN e ON e.g = p.doc_group GROUP BY dimension), c AS (SELECT g, f, n FROM e WHERE g IN (SELECT g FROM c0) ORDER BY n, dr LIMIT 6), room AS (SELECT g.f, any_value(target) * sum(g.n) / any_value(total) - coalesce(any_value(h.n), 0) AS room FROM g LEFT JOIN (SELECT f, sum(n) AS n FROM c GROUP BY f) h USING (f), t GROUP BY g.f), r AS (SELECT g, sum(n) OVER w <= room AS fits, row_number() OVER w AS rn, dr FROM e JOIN room USING (f) WHERE g NOT IN (SELECT g FROM c) WINDOW w AS (PARTITION BY f ORDER BY dr ROWS UNBOUNDED PRECEDING)), k AS (SELECT g, row_number() OVER (ORDER BY fits DESC, rn, dr) AS k FROM r WHERE rn <= 6), held AS (SELECT g FROM c UNION ALL SELECT g FROM k WHERE k <= greatest(2 - (SELECT count(*) FROM c), least((SELECT count(*) FROM r WHERE fits AND rn <= 6), 6 - (SELECT count(*) FROM c))))"
+
+
+@query("WITH " + HELD + ", u AS (SELECT conv_id, row_number() OVER (ORDER BY " + DRAW.format(seed=42, key="conv_id") + ", conv_id) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT conv_id FROM pairs WHERE doc_group NOT IN (FROM held))) SELECT qa_id, conv_id, doc_group, CASE WHEN doc_group IN (FROM held) THEN 'test_heldout_docs' WHEN r <= round_even(n * 0.05, 0) THEN 'val' WHEN r <= round_even(n * 0.05, 0) + round_even(n * 0.10, 0) THEN 'test_indomain' ELSE 'train' END AS split FROM pairs LEFT JOIN u USING (conv_id)")
 def z11_heldout_splits(spark, d):
     return Z.make_splits(pairs(spark, d), "doc_group", "folder", "conv_id", "dimension", least=2, most=6).select("qa_id", "conv_id", "doc_group", "split")
 
@@ -300,10 +306,10 @@ def z12_chunk_split(spark, d):
     return Z.split_rest(pairs(spark, d), "conv_id").select("qa_id", "split")
 
 
-@query("WITH " + PAIRS + " SELECT 'doc_group' AS \"check\", CAST(count(DISTINCT doc_group) AS BIGINT) AS n_keys, CAST(0 AS BIGINT) AS n_leaking FROM pairs UNION ALL SELECT 'qa_id', count(*), 0 FROM pairs")
+@query("WITH " + PAIRS + ", s AS (SELECT *, CASE WHEN (doc_group + turn // 4) % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM pairs), k AS (SELECT 'doc_group' AS \"check\", doc_group AS key, split FROM s UNION ALL SELECT 'conv_id', conv_id, split FROM s UNION ALL SELECT 'qa_id', qa_id, split FROM s), n AS (SELECT \"check\", key, count(DISTINCT split) AS n FROM k GROUP BY ALL) SELECT \"check\", CAST(count(*) AS BIGINT) AS n_keys, CAST(count(*) FILTER (n > 1) AS BIGINT) AS n_leaking FROM n GROUP BY \"check\"")
 def z13_leakage_checks(spark, d):
-    s = pairs(spark, d).withColumn("split", F.when(F.col("doc_group") % 5 == 0, "test").otherwise("train"))
-    return Z.split_checks(s, {"doc_group": "doc_group", "qa_id": "qa_id"})
+    s = pairs(spark, d).withColumn("split", F.when((F.col("doc_group") + F.expr("turn div 4")) % 5 == 0, "test").otherwise("train"))
+    return Z.split_checks(s, {"doc_group": "doc_group", "conv_id": "conv_id", "qa_id": "qa_id"})
 
 
 @query()
@@ -368,16 +374,8 @@ def s07_csv_text(spark, d):
     return FS.read_csv_text(spark, at)
 
 
-@query("WITH " + LINES + " SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS INTEGER) AS ord, text FROM lines WHERE doc_id < 20")
-def s08_document_files(spark, d):
-    at = scratch(spark, "docs")
-    docs = lines(spark, d).where("doc_id < 20").groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: F.struct(x["text"].alias("text"))).alias("blocks"))
-    docs.withColumn("file", F.col("doc_id")).write.partitionBy("file").json(at)  # one file per document
-    return FS.read_documents(spark, at, "doc_id long, blocks array<struct<text: string>>").select("doc_id", "ord", "text")
-
-
 @query("WITH " + LINES + " SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS INTEGER) AS ord, text FROM lines")
-def s08_all_document_files(spark, d):
+def s08_document_files(spark, d):
     at = scratch(spark, "docs")
     docs = lines(spark, d).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: F.struct(x["text"].alias("text"))).alias("blocks"))
     docs.write.json(at)  # several documents per file
@@ -462,15 +460,8 @@ def t03_usage_stream(spark, d):
     return spark.table(name)
 
 
-@query("WITH c AS (SELECT user_id, ts, event_id, value >= 30 AS hi, value < 5 AS lo FROM events WHERE user_id < 20), b AS (SELECT *, sum(CASE WHEN hi THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS isl FROM c), r AS (SELECT *, sum(CASE WHEN hi THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, isl ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM b), s AS (SELECT user_id, event_id, ts, CASE WHEN hi AND run >= 2 THEN 'PAUSE' WHEN lo THEN 'RESUME' END AS state FROM r), k AS (SELECT *, lag(state, 1, 'RESUME') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM s WHERE state IS NOT NULL) SELECT user_id, event_id, state FROM k WHERE state <> before")
-def t04_alarm_hysteresis(spark, d):
-    e = table(spark, d, "events").where("user_id < 20").withColumn("at", F.struct("ts", "event_id"))
-    h = T.alarm_history(e.select("user_id", "at", "value"), "user_id", "at", "value", 30.0, 5.0, 2)
-    return h.select("user_id", "at.event_id", "state")
-
-
 @query("WITH c AS (SELECT user_id, ts, event_id, value >= 30 AS hi, value < 5 AS lo FROM events), b AS (SELECT *, sum(CASE WHEN hi THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS isl FROM c), r AS (SELECT *, sum(CASE WHEN hi THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, isl ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM b), s AS (SELECT user_id, event_id, ts, CASE WHEN hi AND run >= 2 THEN 'PAUSE' WHEN lo THEN 'RESUME' END AS state FROM r), k AS (SELECT *, lag(state, 1, 'RESUME') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM s WHERE state IS NOT NULL) SELECT user_id, event_id, state FROM k WHERE state <> before")
-def t04_alarms_of_all_users(spark, d):
+def t04_alarm_hysteresis(spark, d):
     e = table(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
     h = T.alarm_history(e.select("user_id", "at", "value"), "user_id", "at", "value", 30.0, 5.0, 2)
     return h.select("user_id", "at.event_id", "state")

@@ -205,11 +205,7 @@ def a10_histogram(spark, d):
 
 @query("WITH s AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT lang, max(CASE WHEN i = least(n - 1, CAST(floor(0.5 * n) AS BIGINT)) THEN n_chars END) AS p50, max(CASE WHEN i = least(n - 1, CAST(floor(0.9 * n) AS BIGINT)) THEN n_chars END) AS p90 FROM s GROUP BY lang")
 def a11_nearest_rank(spark, d):
-    # by rank windows rather than a collected array: a language may hold most rows
-    w = Window.partitionBy("lang")
-    s = table(spark, d, "documents").select("lang", "n_chars", (F.row_number().over(w.orderBy("n_chars")) - 1).alias("i"), F.count(ONE).over(w).alias("n"))
-    at = lambda q: F.max(F.when(F.col("i") == F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n"))), F.col("n_chars")))
-    return s.groupBy("lang").agg(at(0.5).alias("p50"), at(0.9).alias("p90"))
+    return S.nearest_rank(table(spark, d, "documents"), "n_chars", ["lang"], {"p50": 0.5, "p90": 0.9})
 
 
 @query("SELECT source, quantile_cont(CAST(n_chars AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(n_chars AS DOUBLE), 0.5) AS q2, quantile_cont(CAST(n_chars AS DOUBLE), 0.75) AS q3 FROM documents GROUP BY source")
@@ -364,10 +360,10 @@ def a32_throughput(spark, d):
 # ---- windows
 
 
-@query("SELECT event_id, round(avg(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 4) AS ma FROM events WHERE user_id = 7")
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 4) AS ma FROM events")
 def w01_moving_average(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-4, 0)
-    return table(spark, d, "events").where("user_id = 7").select("event_id", F.round(F.avg("value").over(w), 4).alias("ma"))
+    return table(spark, d, "events").select("event_id", F.round(F.avg("value").over(w), 4).alias("ma"))
 
 
 @query("WITH c AS (SELECT user_id, event_id, event_type, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS ch FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, event_id, CAST(sum(ch) OVER (PARTITION BY user_id ORDER BY e.ts, c.event_id) AS BIGINT) AS island FROM c JOIN events e USING (user_id, event_id)")
@@ -409,27 +405,18 @@ def w07_top_k(spark, d):
     return top_k(table(spark, d, "customer"), "c_nationkey", "c_custkey", "c_acctbal", 3).select("c_nationkey", "c_custkey", "rank")
 
 
-@query("WITH r AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS rn FROM part) SELECT p_partkey, CAST(row_number() OVER (ORDER BY rn, p_type) - 1 AS INTEGER) AS pos FROM r WHERE rn <= 20")
+@query("WITH r AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS rn FROM part) SELECT p_partkey, row_number() OVER (ORDER BY rn, p_type) - 1 AS pos FROM r")
 def w08_interleave(spark, d):
-    rn = F.row_number().over(Window.partitionBy("p_type").orderBy("p_partkey"))
-    r = table(spark, d, "part").withColumn("rn", rn).where("rn <= 20")  # 20 of each type
-    return r.select("p_partkey", (F.row_number().over(Window.orderBy("rn", "p_type")) - 1).alias("pos"))
+    from ..operators.sampling import round_robin
 
+    return round_robin(table(spark, d, "part").select("p_partkey", "p_type"), "p_type", "p_partkey").select("p_partkey", "pos")
 
-HOLM_SQL = "t AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE (c_custkey % 50) / 1000.0::DOUBLE END AS p FROM customer WHERE c_custkey < 200)"
+
+HOLM_SQL = "t AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE (c_custkey % 50) / 1000.0::DOUBLE END AS p FROM customer)"
 
 
 @query("WITH " + HOLM_SQL + ", k AS (SELECT *, count(p) OVER (PARTITION BY c_mktsegment) AS m, row_number() OVER (PARTITION BY c_mktsegment, p IS NULL ORDER BY p, c_custkey) AS r FROM t) SELECT c_custkey, round(CASE WHEN p IS NOT NULL THEN max(least(1.0, (m - r + 1) * p)) OVER (PARTITION BY c_mktsegment, p IS NULL ORDER BY r) END, 9) AS p_holm FROM k")
 def w09_holm(spark, d):
-    t = table(spark, d, "customer").where("c_custkey < 200").select("c_custkey", "c_mktsegment", F.when(F.col("c_custkey") % 7 != 0, (F.col("c_custkey") % 50) / 1000.0).alias("p"))
-    return S.holm(t, "p", ["c_mktsegment"], ["c_custkey"]).select("c_custkey", F.round("p_holm", 9).alias("p_holm"))
-
-
-HOLM_ALL_SQL = "t AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE (c_custkey % 50) / 1000.0::DOUBLE END AS p FROM customer)"
-
-
-@query("WITH " + HOLM_ALL_SQL + ", k AS (SELECT *, count(p) OVER (PARTITION BY c_mktsegment) AS m, row_number() OVER (PARTITION BY c_mktsegment, p IS NULL ORDER BY p, c_custkey) AS r FROM t) SELECT c_custkey, round(CASE WHEN p IS NOT NULL THEN max(least(1.0, (m - r + 1) * p)) OVER (PARTITION BY c_mktsegment, p IS NULL ORDER BY r) END, 9) AS p_holm FROM k")
-def w09_holm_whole_families(spark, d):
     t = table(spark, d, "customer").select("c_custkey", "c_mktsegment", F.when(F.col("c_custkey") % 7 != 0, (F.col("c_custkey") % 50) / 1000.0).alias("p"))
     return S.holm(t, "p", ["c_mktsegment"], ["c_custkey"]).select("c_custkey", F.round("p_holm", 9).alias("p_holm"))
 
@@ -456,14 +443,8 @@ def w12_change_points(spark, d):
 # ---- order, limits, sets
 
 
-@query("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderpriority, o_orderkey LIMIT 100")
-def o01_category_order(spark, d):
-    rank = F.create_map(*[F.lit(x) for kv in (("P", 0), ("O", 1), ("F", 2)) for x in kv])
-    return table(spark, d, "orders").orderBy(rank[F.col("o_orderstatus")], "o_orderpriority", "o_orderkey").limit(100).select("o_orderkey", "o_orderpriority")
-
-
 @query("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderpriority, o_orderkey")
-def o01_category_order_of_all(spark, d):
+def o01_category_order(spark, d):
     rank = F.create_map(*[F.lit(x) for kv in (("P", 0), ("O", 1), ("F", 2)) for x in kv])
     return table(spark, d, "orders").orderBy(rank[F.col("o_orderstatus")], "o_orderpriority", "o_orderkey").select("o_orderkey", "o_orderpriority")
 

@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables a
 
 
 def test_all_document_files(spark):
-    got = entry.registry.queries()["s08_all_document_files"](spark, DATA).select("doc_id").distinct()
+    got = entry.registry.queries()["s08_document_files"](spark, DATA).select("doc_id").distinct()
     want = spark.read.parquet(f"{DATA}/documents.parquet").where(r"text rlike '[^ \\n]'").select("doc_id")
     assert want.where("doc_id >= 20").count() > 0 and want.exceptAll(got).count() == 0
 
@@ -29,7 +29,7 @@ def test_alarms_of_all_users(spark):
         state[r.user_id] = run, paused
         want |= {(r.user_id, r.event_id, event)} if event else set()
     assert any(user >= 20 for user, _, _ in want)
-    assert set(map(tuple, entry.registry.queries()["t04_alarms_of_all_users"](spark, DATA).collect())) == want
+    assert set(map(tuple, entry.registry.queries()["t04_alarm_hysteresis"](spark, DATA).collect())) == want
 
 
 def test_holm_whole_families(spark):
@@ -43,7 +43,7 @@ def test_holm_whole_families(spark):
         for i, (p, k) in enumerate(tests):
             high = max(high, min(1.0, (len(tests) - i) * p))
             want[k] = high
-    got = {r.c_custkey: r.p_holm for r in entry.registry.queries()["w09_holm_whole_families"](spark, DATA).collect()}
+    got = {r.c_custkey: r.p_holm for r in entry.registry.queries()["w09_holm"](spark, DATA).collect()}
     assert len(want) > 200 and got == pytest.approx(want, abs=1e-8)
 
 
@@ -51,4 +51,4 @@ def test_category_order_of_all(spark):
     orders = spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderstatus", "o_orderpriority", "o_orderkey").collect()
     want = [(k, p) for _, p, k in sorted(("POF".index(s), p, k) for s, p, k in orders)]
     assert {s for s, _, _ in orders} == set("POF")
-    assert list(map(tuple, entry.registry.queries()["o01_category_order_of_all"](spark, DATA).collect())) == want
+    assert list(map(tuple, entry.registry.queries()["o01_category_order"](spark, DATA).collect())) == want
