@@ -183,3 +183,45 @@ def fix_paraphrases(p: DataFrame) -> DataFrame:
 def entailment(p_entail: Column, p_contra: Column, threshold: float = 0.5) -> list[Column]:
     """contradicted and supported: the probability reaches the threshold and the other one does not win (a tie supports)."""
     return [((p_contra >= threshold) & (p_contra > p_entail)).alias("contradicted"), ((p_entail >= threshold) & (p_entail >= p_contra)).alias("supported")]
+
+
+# ---- files and remote work
+
+
+def content_scan(files: DataFrame, key: str) -> DataFrame:
+    """key, status (ok, corrupt), n_chars, hash of each file's content (text): never fails on one; null or empty content is corrupt."""
+    n = F.length(F.coalesce("content", F.lit("")))
+    return files.select(key, F.when(n > 0, "ok").otherwise("corrupt").alias("status"), n.alias("n_chars"), F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256).alias("hash"))
+
+
+def parsed(files: DataFrame, cache: DataFrame | None, parsers: dict[str, Callable[[str], str]] | None = None) -> DataFrame:
+    """files with hash, parser, text, cached. Files without a text layer go to `ocr`, others to `layout`; what the cache (hash, parser, text) holds is not parsed."""
+    parsers = parsers or {"ocr": str.upper, "layout": str.lower}  # stubs
+    rows = files.withColumn("parser", F.when(F.col("text_layer") == "no", "ocr").otherwise("layout")).withColumn("hash", F.sha2(F.col("content").cast("binary"), 256))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    hit = rows.limit(0).withColumns({"text": F.lit(""), "cached": F.lit(True)}) if cache is None else rows.join(cache.dropDuplicates(["hash", "parser"]), ["hash", "parser"]).withColumn("cached", F.lit(True))
+    miss = rows if cache is None else rows.join(cache, ["hash", "parser"], "left_anti")
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(text=[parsers[p](c) for p, c in zip(pdf["parser"], pdf["content"].fillna(""), strict=True)])
+
+    fresh = miss.select(*rows.columns).mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", text string").withColumn("cached", F.lit(False))
+    return hit.select(*rows.columns, "text", "cached").unionByName(fresh)
+
+
+def poll(status: Callable[[], str], most: int, errors: int = 10, wait: Callable[[], None] = lambda: None) -> dict:
+    """outcome (done, failed, cancelled) and polls of a remote job: asked until it ends, `most` times, or more than `errors` calls in all fail."""
+    failed = 0
+    for n in range(1, most + 1):
+        try:
+            now = status()
+        except Exception:  # noqa: BLE001  counted
+            failed += 1
+            if failed > errors:
+                return {"outcome": "failed", "polls": n}
+        else:
+            if now in ("done", "failed"):
+                return {"outcome": now, "polls": n}
+        wait()
+    return {"outcome": "cancelled", "polls": most}

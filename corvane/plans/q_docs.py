@@ -133,11 +133,17 @@ def d05_keep_largest(spark, d):
     return D.largest_of_group(t, "text_hash", "n_chars", "doc_id")
 
 
-@query()
+@query(
+    "WITH RECURSIVE v AS (SELECT label, vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL), e AS (SELECT b.label, b.id, a.id AS a, list_inner_product(a.e, b.e) AS cos FROM v a JOIN v b ON a.label = b.label AND a.id < b.id WHERE list_inner_product(a.e, b.e) > 0.92), "
+    "n AS (SELECT v.label, v.id, row_number() OVER (PARTITION BY v.label ORDER BY v.id) AS rn, coalesce(p.prev, []) AS prev FROM v LEFT JOIN (SELECT label, id, list(a) AS prev FROM e GROUP BY ALL) p ON p.label = v.label AND p.id = v.id), "
+    "w AS (SELECT label, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT label FROM n) UNION ALL SELECT w.label, n.rn, CASE WHEN list_has_any(kept, prev) THEN kept ELSE list_append(kept, id) END FROM w JOIN n ON n.label = w.label AND n.rn = w.rn + 1), "
+    "k AS (SELECT label, arg_max(kept, rn) AS kept FROM w GROUP BY label), d AS (SELECT label, id, arg_max(a, (round(cos, 9), -a)) AS dropped_by, round(max(cos), 6) AS cosine FROM e JOIN k USING (label) WHERE list_contains(kept, a) GROUP BY ALL) "
+    "SELECT label, v.id, list_contains(kept, v.id) AS kept, dropped_by, cosine FROM v JOIN k USING (label) LEFT JOIN d USING (label, id)"
+)
 def d06_ordered_dedup(spark, d):
     v = table(spark, d, "embeddings").where("label is not null").select(F.col("vec_id").alias("id"), "embedding", "label")
-    edges = D.similar_pairs(v, "id", "embedding", "label", 0.92)
-    return D.greedy_keep(v.select("label", "id"), edges, "id", "label")
+    edges = D.similar_pairs(v, "id", "embedding", "label", 0.92).withColumn("cosine", F.round("cosine", 9))
+    return D.greedy_keep(v.select("label", "id"), edges, "id", "label").withColumn("cosine", F.round("cosine", 6))
 
 
 # ---- vectors and retrieval

@@ -464,11 +464,19 @@ def c18_word_windows(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(chunking.word_windows("text")).alias("i", "win"))
 
 
-@query()
+LOOSE = r"""list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: length(trim(x)) > 0)"""
+WORDS_OF = "len(regexp_extract_all({}, '\\S+'))"
+
+
+@query(
+    "WITH RECURSIVE s AS (SELECT doc_id, text, " + WORDS_OF.format("text") + " <= 120 AS fits, " + LOOSE + " AS s FROM documents), e AS (SELECT doc_id, unnest(s) AS x, unnest(range(1, len(s) + 1)) AS i FROM s WHERE NOT fits), z AS (SELECT *, " + WORDS_OF.format("x") + " AS n, lag(" + WORDS_OF.format("x") + ") OVER (PARTITION BY doc_id ORDER BY i) AS b FROM e), "
+    "w AS (SELECT doc_id, i, n AS size, CAST(1 AS BIGINT) AS start, 0 AS win FROM z WHERE i = 1 UNION ALL SELECT z.doc_id, z.i, CASE WHEN size + z.n > 120 THEN z.b + z.n ELSE size + z.n END, CASE WHEN size + z.n > 120 THEN z.i - 1 ELSE start END, win + CASE WHEN size + z.n > 120 THEN 1 ELSE 0 END FROM w JOIN z ON z.doc_id = w.doc_id AND z.i = w.i + 1), "
+    "k AS (SELECT doc_id, win, any_value(start) AS a, max(i) AS b FROM w GROUP BY ALL) SELECT doc_id, win AS i, array_to_string(s[a:b], ' ') AS win FROM k JOIN s USING (doc_id) UNION ALL SELECT doc_id, 0, text FROM s WHERE fits"
+)
 def c17_sentence_windows(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(chunking.sentence_windows("text", 120)).alias("i", "win"))
 
 
-@query()
+@query("WITH s AS (SELECT doc_id, " + SENTENCES + " AS s FROM documents), n AS (SELECT doc_id, s, list_reverse(list_transform(s, lambda x: " + WORDS_OF.format("x") + ")) AS n FROM s), k AS (SELECT doc_id, s, len(list_filter(range(1, least(len(n), 41) + 1), lambda i: list_sum(n[1:i]) <= 40)) AS k FROM n) SELECT doc_id, CASE WHEN k > 0 THEN array_to_string(s[len(s) - k + 1:], ' ') ELSE '' END AS tail FROM k")
 def c14_tail_sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", chunking.tail_sentences("text", 40).alias("tail"))

@@ -79,8 +79,8 @@ def keep_human_columns(new: DataFrame, old: DataFrame | None, key: str, columns:
     return base.join(written, key, "left").select(*base.columns, *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns])
 
 
-def table_text(df: DataFrame, bold: dict[str, bool] | None = None, digits: int = 3) -> tuple[str, str]:
-    """Markdown and LaTeX of a small table (it is collected); bold: columns whose best value stands out, True if more is better."""
+def table_text(df: DataFrame, bold: dict[str, bool] | None = None, digits: int = 3, note: str = "", columns: str | None = None) -> tuple[str, str]:
+    """Markdown and LaTeX of a small table (it is collected); bold: columns whose best value stands out, True if more is better; a note below; columns: LaTeX's column types."""
     rows, names = [list(r) for r in df.collect()], df.columns
     best = {c: (max if up else min)([r[names.index(c)] for r in rows if r[names.index(c)] is not None], default=None) for c, up in (bold or {}).items()}
 
@@ -91,9 +91,16 @@ def table_text(df: DataFrame, bold: dict[str, bool] | None = None, digits: int =
     md = ["| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
     md += ["| " + " | ".join(cell(c, v, lambda t: f"**{t}**") for c, v in zip(names, r, strict=True)) + " |" for r in rows]
     plain = lambda t: "".join("\\" + x if x in "&%$#_{}" else x for x in t)
-    tex = [rf"\begin{{tabular}}{{{'l' * len(names)}}}", " & ".join(map(plain, names)) + r" \\ \hline"]
+    tex = [rf"\begin{{tabular}}{{{columns or 'l' * len(names)}}}", " & ".join(map(plain, names)) + r" \\ \hline"]
     tex += [" & ".join(cell(c, plain(v) if isinstance(v, str) else v, lambda t: rf"\textbf{{{t}}}") for c, v in zip(names, r, strict=True)) + r" \\" for r in rows]
-    return "\n".join(md) + "\n", "\n".join([*tex, r"\end{tabular}"]) + "\n"
+    md, tex = [*md, *(["", note] if note else [])], [*tex, r"\end{tabular}", *([r"\par " + plain(note)] if note else [])]
+    return "\n".join(md) + "\n", "\n".join(tex) + "\n"
+
+
+def report(spark: SparkSession, lines: list[str], path: str) -> None:
+    """A report of a few lines: printed, and saved as one text file in a folder."""
+    print(*lines, sep="\n")
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def path_fields(path: Column) -> list[Column]:

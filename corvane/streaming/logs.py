@@ -33,20 +33,27 @@ ALARM = "device string, time timestamp, value double, state string"
 
 
 def alarms(readings: DataFrame, high: float = 84.0, low: float = 75.0, times: int = 4) -> DataFrame:
-    """PAUSE at the `times`-th reading in a row of `high` or more, RESUME at the first below `low` after that. readings: device, time, value (a stream)."""
+    """PAUSE at the `times`-th reading in a row of `high` or more, RESUME at the first below `low` after that. readings: device, time, value (a stream).
+
+    Readings of a micro-batch are taken in order of time. One that is older than the last reading of its device in an earlier batch comes
+    too late: the run it belonged to has been judged, so it changes nothing.
+    """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run, paused = state.get if state.exists else (0, False)
+        run, paused, last = state.get if state.exists else (0, False, None)
         rows = pd.concat(list(batches)).sort_values("time", kind="stable")
         out = []
         for r in rows.itertuples():
+            if last is not None and r.time.value < last:
+                continue
             run, paused, event = next_state(run, paused, r.value, high, low, times)
             if event:
                 out.append((key[0], r.time, r.value, event))
-        state.update((run, paused))
+        newest = int(rows["time"].max().value)
+        state.update((run, paused, newest if last is None else max(last, newest)))
         yield pd.DataFrame(out, columns=["device", "time", "value", "state"])
 
-    return readings.groupBy("device").applyInPandasWithState(step, ALARM, "run int, paused boolean", "append", GroupStateTimeout.NoTimeout)
+    return readings.groupBy("device").applyInPandasWithState(step, ALARM, "run int, paused boolean, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def next_state(run: int, paused: bool, value: float, high: float, low: float, times: int) -> tuple[int, bool, str | None]:
@@ -83,17 +90,21 @@ def remaining(work: DataFrame, done: DataFrame, key: str | list[str]) -> DataFra
     return work.join(done, key, "left_anti")
 
 
-def process_new(stream: DataFrame, sink: str, checkpoint: str, key: list[str]) -> None:
-    """Append the rows of a stream to a Parquet sink, each key once; available rows only, resumable by its checkpoint."""
+def process_new(stream: DataFrame, sink: str, checkpoint: str, key: list[str], time: str | None = None, late: str = "1 day") -> None:
+    """Append the rows of a stream to a Parquet sink, each key once; available rows only, resumable by its checkpoint.
+
+    Keys seen before are held by the stream's state, those of the last `late` only where `time` names an event time. A micro-batch goes into a
+    folder of its own number, which a repeated batch writes anew: the sink is never read.
+    """
+    once = stream.dropDuplicates(key) if time is None else stream.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    once.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-    def put(batch: DataFrame, _: int) -> None:
-        rows = batch.dropDuplicates(key)
-        spark = batch.sparkSession
-        try:
-            rows = rows.join(spark.read.parquet(sink).select(*key), key, "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        rows.write.mode("append").parquet(sink)
 
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def append_buffered(stream: DataFrame, sink: str, checkpoint: str, every: str | None = None) -> None:
+    """Append the rows of a stream as JSON lines: a buffer is a micro-batch (`every`, e.g. 60 seconds; None: what is there now), durable when its number is committed."""
+    writer = stream.writeStream.format("json").option("path", sink).option("checkpointLocation", checkpoint)
+    (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start().awaitTermination()
