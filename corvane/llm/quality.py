@@ -2,7 +2,7 @@
 
 Each document's character-class histogram and common-word histogram are held against those of its language by the
 Jensen-Shannon distance (base 2, 0 to 1). The references are the pooled counts of all documents of the language that pass
-the base rules. A distance counts only for texts of a minimum length: short histograms are noise.
+the base rules. Word lists are a parameter: those of four languages are given, frequent_words() finds others in the data. A distance counts only for texts of a minimum length: short histograms are noise.
 
 Cases: null text counts as empty (no words; base_failed); null lang or one without a word list or a reference: only the base
 rules speak; repeated rows: judged one by one, and counted in the references as often as they occur; empty table: empty
@@ -11,7 +11,7 @@ result; other columns are ignored by verdicts() and kept by keep().
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -33,9 +33,25 @@ MIN_WORDS_FOR_COMMON = 100
 MAX_CLASS_DISTANCE = 0.25
 MAX_COMMON_DISTANCE = 0.29
 
-_ALL = sorted({w for ws in COMMON_WORDS.values() for w in ws})
-_CODE = {w: chr(0x100 + k) for k, w in enumerate(_ALL)}  # one character for each common word
-_N_COMMON = max(map(len, COMMON_WORDS.values()))
+Lists = dict[str, list[str]]
+
+
+def _codes(words: Lists) -> dict[str, str]:
+    """One character for each common word."""
+    return {w: chr(0x100 + k) for k, w in enumerate(sorted({w for ws in words.values() for w in ws}))}
+
+
+def frequent_words(docs: DataFrame, k: int = 18, languages: int = 64) -> Lists:
+    """Word lists from the data, for languages without one by hand: the k most frequent words (lower case, letters only) of each of the most frequent languages. The driver gets k * languages rows at most."""
+    words = docs.where("lang is not null").select("lang", F.explode(F.transform(C.words_of(F.col("text")), F.lower)).alias("word")).where(F.col("word").rlike(r"^\p{L}+$"))
+    counts = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    large = counts.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(languages)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = counts.join(F.broadcast(large.select("lang")), "lang").withColumn("place", place).where(F.col("place") <= k)  # large: `languages` rows
+    out: Lists = {}
+    for r in sorted(top.select("lang", "place", "word").collect()):
+        out.setdefault(r.lang, []).append(r.word)
+    return out
 
 
 def _repeat_words(w: Column) -> Column:
@@ -52,13 +68,13 @@ def _repeat_words(w: Column) -> Column:
     return F.coalesce(C.let(F.sort_array(windows), covered), F.lit(0)).cast("long")
 
 
-def features(docs: DataFrame, *carry: str) -> DataFrame:
+def features(docs: DataFrame, *carry: str, words: Lists = COMMON_WORDS) -> DataFrame:
     """doc_id, lang, the base figures, c_<class> counts, w_<k>: counts of the k-th common word of the language; and the columns in carry."""
-    text = F.coalesce("text", F.lit(""))
-    codes = F.create_map(*[F.lit(x) for kv in _CODE.items() for x in kv])
+    text, code = F.coalesce("text", F.lit("")), _codes(words)
+    codes = F.create_map(*[F.lit(x) for kv in code.items() for x in kv])
 
     def of_words(w: Column) -> Column:
-        met = F.filter(F.transform(w, F.lower), lambda x: x.isin(_ALL))
+        met = F.filter(F.transform(w, F.lower), lambda x: x.isin(list(code)))
         return F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words"), F.array_join(F.transform(met, lambda x: F.element_at(codes, x)), "").alias("common"))
 
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(C.WORD))
@@ -78,7 +94,7 @@ def features(docs: DataFrame, *carry: str) -> DataFrame:
     steps = F.concat(F.array("n_chars"), F.transform("left", lambda x: x.cast("long")), F.array(F.lit(0).cast("long")))
     classes = C.let(steps, lambda x: F.transform(F.sequence(F.lit(0), F.lit(len(CLASSES))), lambda k: F.get(x, k) - F.get(x, k + 1)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    lists = F.create_map(*[x for lang, ws in COMMON_WORDS.items() for x in (F.lit(lang), F.array(*[F.lit(_CODE[w]) for w in ws]))])
+    lists = F.create_map(*[x for lang, ws in words.items() for x in (F.lit(lang), F.array(*[F.lit(code[w]) for w in ws]))])
     common = C.let(F.col("common"), lambda s: F.transform(F.element_at(lists, F.col("lang")), lambda ch: (F.length(s) - F.length(F.replace(s, ch, F.lit("")))).cast("long")))
     return df.select("doc_id", "lang", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n_chars", classes.alias("classes"), common.alias("commons"))
 
@@ -89,11 +105,11 @@ def _class_counts(rest: Column, k: int = 1) -> Column:
     return here if k == len(CLASSES) else F.concat(here, C.let(F.regexp_replace(rest, CLASSES[k][1], ""), lambda r: _class_counts(r, k + 1)))
 
 
-def references(feats: DataFrame) -> DataFrame:
-    """One row per language with a word list: pooled counts over all documents that pass the base rules. At most len(COMMON_WORDS) rows."""
-    pooled = feats.where(F.col("lang").isin(list(COMMON_WORDS)) & ~F.col("base_failed"))
+def references(feats: DataFrame, words: Lists = COMMON_WORDS) -> DataFrame:
+    """One row per language with a word list: pooled counts over all documents that pass the base rules. At most len(words) rows."""
+    pooled = feats.where(F.col("lang").isin(list(words)) & ~F.col("base_failed"))
     sums = lambda c, n: F.array(*[F.coalesce(F.sum(F.get(c, F.lit(k))), F.lit(0)) for k in range(n)])
-    return pooled.groupBy(F.col("lang").alias("r_lang")).agg(sums("classes", len(CLASS_NAMES)).alias("r_classes"), sums("commons", _N_COMMON).alias("r_commons"), F.sum("n_chars").alias("r_chars"), F.sum("n_words").alias("r_words"))
+    return pooled.groupBy(F.col("lang").alias("r_lang")).agg(sums("classes", len(CLASS_NAMES)).alias("r_classes"), sums("commons", max(map(len, words.values()))).alias("r_commons"), F.sum("n_chars").alias("r_chars"), F.sum("n_words").alias("r_words"))
 
 
 def _js(counts: Column, total: Column, ref_counts: Column, ref_total: Column, rest: bool) -> Column:
@@ -112,10 +128,10 @@ def _js(counts: Column, total: Column, ref_counts: Column, ref_total: Column, re
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "common_distance"]
 
 
-def verdicts(docs: DataFrame) -> DataFrame:
+def verdicts(docs: DataFrame, words: Lists = COMMON_WORDS) -> DataFrame:
     """One row per document, with the columns COLUMNS."""
-    feats = C.cut(features(docs), "quality")
-    return judged(feats, references(feats)).select(*COLUMNS)
+    feats = C.cut(features(docs, words=words), "quality")
+    return judged(feats, references(feats, words)).select(*COLUMNS)
 
 
 def judged(feats: DataFrame, refs: DataFrame) -> DataFrame:
@@ -129,10 +145,10 @@ def judged(feats: DataFrame, refs: DataFrame) -> DataFrame:
     return df.withColumn("kept", ~F.col("base_failed") & ~diverges)
 
 
-def keep(docs: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, words: Lists = COMMON_WORDS) -> DataFrame:
     """The documents that the rules keep, with the columns they came with. Figures are made once and stand beside their rows: there is no join on ids."""
     plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # any names pass, dots too
     at = {c.lower(): f"c{k}" for k, c in enumerate(docs.columns)}
     rows = plain.select(*[F.col(at[c]).alias(c) for c in ("doc_id", "lang", "text")], F.struct(*plain.columns).alias("held"))
-    feats = C.cut(features(rows, "held"), "quality")
-    return judged(feats, references(feats)).where("kept").select("held.*").toDF(*docs.columns)
+    feats = C.cut(features(rows, "held", words=words), "quality")
+    return judged(feats, references(feats, words)).where("kept").select("held.*").toDF(*docs.columns)

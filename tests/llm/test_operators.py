@@ -385,6 +385,20 @@ def test_quality_parts_labelled_documents(spark):
     assert sum(good) / len(good) > 0.99 and sum(bad) / len(bad) < 0.3
 
 
+def test_word_lists_of_other_languages_come_from_the_data(spark):
+    rng = random.Random(8)
+    common, rare = [f"co{x}" for x in "abcdefgh"], [f"ra{x}{y}" for x in "abcdefghijklmnop" for y in "abcdefghijklmnop"]
+    plain = [" ".join(rng.choice(common) if rng.random() < 0.5 else rng.choice(rare) for _ in range(200)) for _ in range(30)]
+    odd = " ".join(rng.choice(rare) for _ in range(200))
+    rows = [(k, t, "xx") for k, t in enumerate([*plain, odd])] + [(99, "one two", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    words = quality.frequent_words(docs, k=8)
+    assert {k: sorted(v) for k, v in words.items()} == {"xx": common}
+    kept = {r.doc_id: r.kept for r in quality.verdicts(docs, words).collect()}
+    assert [k for k, v in kept.items() if not v and k < 99] == [30] and all(r.kept for r in quality.verdicts(docs).where("doc_id < 99").collect())
+    assert {r.doc_id for r in quality.keep(docs, words).collect()} == set(range(30)) and quality.frequent_words(docs.limit(0)) == {}
+
+
 # ---- 6
 
 
