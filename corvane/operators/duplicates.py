@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -175,35 +176,51 @@ def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(X.col(a), X.col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def similar_pairs(df: DataFrame, key: str, vector: str, block: str, threshold: float) -> DataFrame:
-    """a < b of one block with inner product above the threshold."""
-    l, r = df.select(F.col(key).alias("a"), F.col(vector).alias("va"), block), df.select(F.col(key).alias("b"), F.col(vector).alias("vb"), block)
-    return l.join(r, block).where("a < b").withColumn("cosine", dot("va", "vb")).where(F.col("cosine") > threshold).select(block, "a", "b", "cosine")
+VECTOR_TILE = 1024  # vectors of a tile
 
 
-def greedy_keep(nodes: DataFrame, edges: DataFrame, key: str, block: str) -> DataFrame:
+def similar_pairs(df: DataFrame, key: str, vector: str, block: str, threshold: float) -> DataFrame:
+    """a < b of one block with inner product above the threshold: tiles of a block's vectors meet in pairs, each pair one matrix product."""
+    kinds = dict(df.dtypes)
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(block).alias("g"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    sizes = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / VECTOR_TILE).cast("int").alias("parts"))
+    placed = rows.join(sizes, "g").withColumn("tile", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("g", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "k", "v")
+
+    def compare(name, pdf):
+        x, y = (pdf[pdf["tile"] == t] for t in name[1:])
+        cos = np.array(x["v"].tolist()).reshape(len(x), -1) @ np.array(y["v"].tolist()).reshape(len(y), -1).T if len(x) and len(y) else np.zeros((0, 0))
+        p, q = np.nonzero(cos > threshold)
+        a, b, c = x["k"].to_numpy()[p], y["k"].to_numpy()[q], cos[p, q]
+        once = a < b if name[1] == name[2] else a != b
+        a, b, c = a[once], b[once], c[once]
+        return pd.DataFrame({"g": [name[0]] * len(a), "a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": c})
+
+    found = met.groupBy("g", "i", "j").applyInPandas(compare, f"g {kinds[block]}, a {kinds[key]}, b {kinds[key]}, cosine double")
+    return found.withColumnRenamed("g", block)
+
+
+def greedy_keep(nodes: DataFrame, edges: DataFrame, key: str, block: str, cut: Callable[[DataFrame], DataFrame] = lambda t: t) -> DataFrame:
     """block, key, kept, dropped_by, cosine: in key order a row is dropped if an earlier kept row of its block is linked to it.
 
-    Only the rows of a block that have a link at all are walked in order; the others are kept without leaving the JVM.
+    Rounds instead of a walk: rows without an undecided earlier neighbour are kept, what is linked to them is dropped, and links of
+    dropped rows count no more. There are as many rounds as decisions that wait for each other. cut ends a table's lineage (it writes and
+    rereads it).
     """
-    schema = f"{block} {dict(nodes.dtypes)[block]}, {key} {dict(nodes.dtypes)[key]}, kept boolean, dropped_by {dict(nodes.dtypes)[key]}, cosine double"
-
-    def walk(k, pdf):
-        linked: dict = {}
-        for a, b, cos in zip(pdf["a"], pdf["b"], pdf["cosine"], strict=True):
-            linked.setdefault(b, []).append((a, cos))
-        out, kept = [], set()
-        for x in sorted(set(pdf["a"]) | set(pdf["b"])):
-            before = [(cos, a) for a, cos in linked.get(x, []) if a in kept]
-            cos, by = max(before, key=lambda t: (t[0], -t[1])) if before else (None, None)
-            if not before:
-                kept.add(x)
-            out.append((k[0], x, not before, by, cos))
-        return pd.DataFrame(out, columns=[block, key, "kept", "dropped_by", "cosine"]).astype({"dropped_by": "Int64"})
-
-    walked = edges.groupBy(block).applyInPandas(walk, schema)
-    left = nodes.select(block, key).join(walked.select(block, key), [block, key], "left_anti")
-    return walked.unionByName(left.select(block, key, F.lit(True).alias("kept"), F.lit(None).cast(dict(nodes.dtypes)[key]).alias("dropped_by"), F.lit(None).cast("double").alias("cosine")))
+    links = cut(edges.select(F.col(block).alias("g"), "a", "b", "cosine"))
+    left, dropped = links.select("g", "a", "b"), None
+    while not left.isEmpty():
+        heads = left.select("g", "a").join(left.select("g", F.col("b").alias("a")).distinct(), ["g", "a"], "left_anti").distinct()
+        gone = cut(left.join(heads, ["g", "a"]).select("g", F.col("b").alias("x")).distinct())
+        is_gone = lambda c: gone.select("g", F.col("x").alias(c))  # noqa: E731, B023
+        left = cut(left.join(heads, ["g", "a"], "left_anti").join(is_gone("a"), ["g", "a"], "left_anti").join(is_gone("b"), ["g", "b"], "left_anti").select("g", "a", "b"))
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+    if dropped is None:
+        dropped = links.select("g", F.col("a").alias("x"))  # no rows
+    by = links.join(dropped.select("g", F.col("x").alias("b")), ["g", "b"]).join(dropped.select("g", F.col("x").alias("a")), ["g", "a"], "left_anti")
+    best = by.groupBy("g", "b").agg(F.max_by(F.struct("a", "cosine"), F.struct("cosine", -F.col("a"))).alias("w"))
+    out = nodes.select(F.col(block).alias("g"), F.col(key).alias("b")).join(best, ["g", "b"], "left")
+    return out.select(F.col("g").alias(block), F.col("b").alias(key), F.col("w").isNull().alias("kept"), F.col("w.a").alias("dropped_by"), F.col("w.cosine").alias("cosine"))
 
 
 def last_of_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -69,21 +69,14 @@ def _best_of(block: pa.Table, query: str, item: str, k: int, digits: int):
     return run
 
 
-def term_counts(df: DataFrame, key: str, text: str, stop: list[str] | None = None) -> DataFrame:
-    """key, term, tf."""
-    t = df.select(key, F.explode(X.tokens(text)).alias("term"))
-    if stop:
-        t = t.where(~F.col("term").isin(stop))
-    return t.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def bm25(queries: DataFrame, corpus: DataFrame, query: str, item: str, q_text: str, text: str, stop: list[str] | None = None) -> DataFrame:
     """query, item, score of all items that share a term with the query. Only the postings of query terms are joined."""
-    tf = term_counts(corpus, item, text, stop)
-    length = tf.groupBy(item).agg(F.sum("tf").alias("dl"))
+    kept = F.filter(X.tokens(text), lambda t: ~t.isin(stop)) if stop else X.tokens(text)
+    length = corpus.select(item, F.size(kept).alias("dl")).where("dl > 0")
     size = length.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     wanted = queries.select(query, F.explode(F.array_distinct(X.tokens(q_text))).alias("term"))
-    df = tf.join(wanted.select("term").distinct(), "term", "left_semi")
+    posted = corpus.select(item, F.explode(kept).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    df = posted.groupBy(item, "term").agg(F.count(F.lit(1)).alias("tf"))
     idf = df.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     posts = df.join(idf, "term").join(length, item).crossJoin(F.broadcast(size))  # size: one row
     idf_value = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -114,7 +107,7 @@ def metrics(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, query: s
 def containing(spans: DataFrame, texts: DataFrame, span_key: str, span: str, key: str, text: str, n: int = 4) -> DataFrame:
     """span_key, key where the text contains the span (white space aside): candidates share the span's n-word shingle that fewest texts hold.
 
-    Spans of fewer than n words are compared by their first word.
+    Spans of fewer than n + 2 words share their rarest inner word; spans of one or two words are searched in every text.
     """
     s = spans.select(F.col(span_key).alias("sk"), X.ws(span).alias("s")).where(F.length("s") > 0)
     t = texts.select(F.col(key).alias("k"), X.ws(text).alias("t"))
@@ -129,9 +122,14 @@ def containing(spans: DataFrame, texts: DataFrame, span_key: str, span: str, key
     rarest = asked.join(often, "h").groupBy("sk").agg(F.min_by("h", F.struct("n", "h")).alias("h"))
     candidates = rarest.join(held, "h").select("sk", "k")
     long_ = candidates.join(s, "sk").join(t, "k").where(F.col("t").contains(F.col("s"))).select("sk", "k")
-    short = s.where(F.size(words(F.col("s"))) < n + 2)
-    few = short.join(t, F.col("t").contains(F.col("s"))).select("sk", "k")  # spans too short to index
-    return long_.unionByName(few).select(F.col("sk").alias(span_key), F.col("k").alias(key))
+    # spans of a few words: their inner words are whole words of the text, the rarest of which fetches the candidates
+    inner = s.where(F.size(words(F.col("s"))).between(3, n + 1)).select("sk", F.explode(F.array_distinct(F.slice(words(F.col("s")), 2, F.size(words(F.col("s"))) - 2))).alias("w"))
+    holding = t.select("k", F.explode(F.array_distinct(words(F.col("t")))).alias("w")).join(inner.select("w").distinct(), "w", "left_semi")
+    fewest = inner.join(holding.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "w").groupBy("sk").agg(F.min_by("w", F.struct("n", "w")).alias("w"))
+    short = fewest.join(holding, "w").select("sk", "k").join(s, "sk").join(t, "k").where(F.col("t").contains(F.col("s"))).select("sk", "k")
+    # one or two words may both be parts of words: nothing to look up, every text is searched
+    tiny = s.where(F.size(words(F.col("s"))) < 3).join(t, F.col("t").contains(F.col("s"))).select("sk", "k")
+    return long_.unionByName(short).unionByName(tiny).select(F.col("sk").alias(span_key), F.col("k").alias(key))
 
 
 def embedding_todo(chunks: DataFrame, index: DataFrame, key: str) -> DataFrame:

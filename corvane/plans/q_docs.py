@@ -35,6 +35,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df written and read again."""
+    at = scratch(spark, "cut")
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 # ---- structure
 
 
@@ -143,7 +150,7 @@ def d05_keep_largest(spark, d):
 def d06_ordered_dedup(spark, d):
     v = table(spark, d, "embeddings").where("label is not null").select(F.col("vec_id").alias("id"), "embedding", "label")
     edges = D.similar_pairs(v, "id", "embedding", "label", 0.92).withColumn("cosine", F.round("cosine", 9))
-    return D.greedy_keep(v.select("label", "id"), edges, "id", "label").withColumn("cosine", F.round("cosine", 6))
+    return D.greedy_keep(v.select("label", "id"), edges, "id", "label", lambda t: cut(spark, t)).withColumn("cosine", F.round("cosine", 6))
 
 
 # ---- vectors and retrieval
