@@ -54,6 +54,7 @@ def unspace(c) -> Column:
         )
 
     closed = F.aggregate(words, start, step, lambda s: F.array_join(F.concat(s["out"], close(s)), " "))
+    closed = F.when(col(c).rlike(r"(?U)(?:^| )\w \w \w(?: |$)"), closed).otherwise(col(c))  # few texts need the fold
     return F.regexp_replace(closed, "^([A-Za-z]) ([a-z]+)$", "$1$2")
 
 
@@ -162,8 +163,7 @@ SKIP_HEADINGS = [
 
 def skip_reason(heading) -> Column:
     """Kind of skipped section that a heading opens, or null."""
-    h = normalize_heading(heading)
-    return F.coalesce(*[F.when(h.rlike(f"^{rx}$"), F.lit(name)) for name, rx in SKIP_HEADINGS])
+    return let(normalize_heading(heading), lambda h: F.coalesce(*[F.when(h.rlike(f"^{rx}$"), F.lit(name)) for name, rx in SKIP_HEADINGS]))
 
 
 def lenient_json(c) -> Column:

@@ -74,8 +74,7 @@ def c10_clean_blocks(spark, d):
 @query()
 def x08_mended_words(spark, d):
     broken = F.regexp_replace("text", r"\b([a-z]{3})([a-z]{3,})\b", "$1- $2")
-    texts = table(spark, d, "documents").select("doc_id", F.lit(0).alias("ord"), F.lit("text").alias("label"), broken.alias("text"), F.lit(1).alias("page"), F.lit(1).alias("n_pages"), F.lit("book").alias("folder"), F.lit(False).alias("chapter_file"))
-    return C.clean_blocks(texts).select("doc_id", "block_id", "text")
+    return C.mended(table(spark, d, "documents").select("doc_id", F.lit("text").alias("label"), broken.alias("text"))).select("doc_id", "text")
 
 
 @query("WITH " + LINES + ", h AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+-[a-z]+') AS w FROM lines) SELECT w, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(w) AS w FROM h) GROUP BY w")

@@ -35,9 +35,9 @@ def x03_clean_stem(spark, d):
     return table(spark, d, "part").select("p_partkey", X.clean_stem(t).alias("stem"))
 
 
-@query()
+@query(r"SELECT p_partkey, regexp_replace(w, '([a-z])', '\1 ', 'g') || 'and ' || p_name AS spaced, CASE WHEN len(w) >= 3 THEN w || ' ' ELSE regexp_replace(w, '([a-z])', '\1 ', 'g') END || 'and ' || p_name AS closed FROM (SELECT p_partkey, p_name, regexp_extract(p_name, '^[a-z]*') AS w FROM part)")
 def x04_unspace(spark, d):
-    spaced = F.concat(F.regexp_replace(F.substring("p_name", 1, 6), "([a-z])", "$1 "), F.lit("and "), F.col("p_name"))
+    spaced = F.concat(F.regexp_replace(F.regexp_extract("p_name", "^[a-z]*", 0), "([a-z])", "$1 "), F.lit("and "), F.col("p_name"))
     return table(spark, d, "part").select("p_partkey", spaced.alias("spaced"), X.unspace(spaced).alias("closed"))
 
 
@@ -140,7 +140,7 @@ def x18_term_counts(spark, d):
 
 @query()
 def x19_banned_phrases(spark, d):
-    asked = F.concat(F.lit("What does "), F.when(F.col("qa_id") % 2 == 0, "the evidence").otherwise("a policy"), F.lit(" say on "), F.substring("question", 1, 60))
+    asked = F.concat(F.lit("What does "), F.when(F.col("qa_id") % 2 == 0, "the evidence").otherwise("a policy"), F.lit(" say on "), F.col("question"))
     p = pairs(spark, d).select("qa_id", asked.alias("q"))
     return p.select("qa_id", scoring.banned("q").alias("banned"), scoring.meta_text("q").alias("meta"))
 
