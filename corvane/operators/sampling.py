@@ -86,21 +86,28 @@ def heldout_groups(pairs: DataFrame, group: str, folder: str, dimension: str, sh
     as many as fit into what the cover left of the folder's part of the target (share of all pairs). At least `least` groups where there
     are so many. Groups above half the target are not eligible.
     """
-    groups = pairs.groupBy(group).agg(F.min(folder).alias("_folder"), F.count(F.lit(1)).alias("_n")).withColumn("_draw", draw(seed, group))
-    total = pairs.count()
+    cells = pairs.groupBy(group, dimension).agg(F.min(folder).alias("_f"), F.count(F.lit(1)).alias("_c")).persist()  # all that follows reads these alone
+    groups = cells.groupBy(group).agg(F.min("_f").alias("_folder"), F.sum("_c").alias("_n")).withColumn("_draw", draw(seed, group))
+    total = cells.agg(F.sum("_c")).first()[0] or 0
     target = share * total
     fit = groups.where(F.col("_n") <= max(target / 2, 1.0))
-    of_dimension = pairs.select(group, dimension).distinct().join(fit, group).groupBy(dimension).agg(F.min_by(group, F.struct("_n", "_draw")).alias(group))
-    cover = fit.join(of_dimension.select(group).distinct(), group, "left_semi").orderBy("_n", "_draw").limit(most)
-    taken = cover.groupBy("_folder").agg(F.sum("_n").alias("_taken"))
-    rooms = groups.groupBy("_folder").agg(F.sum("_n").alias("_all")).join(taken, "_folder", "left")
-    rooms = rooms.select("_folder", (F.lit(target) * F.col("_all") / total - F.coalesce("_taken", F.lit(0))).alias("_room"))
+    of_dimension = cells.join(fit, group).groupBy(dimension).agg(F.min_by(group, F.struct("_n", "_draw")).alias(group))
+    spark, kind = pairs.sparkSession, dict(pairs.dtypes)[group]
+    held = lambda rows: spark.createDataFrame([(r[0],) for r in rows], f"`{group}` {kind}")
+    cover = fit.join(of_dimension.select(group).distinct(), group, "left_semi").select(group, "_folder", "_n", "_draw").orderBy("_n", "_draw").limit(most).collect()  # at most `most` rows
+    taken: dict = {}
+    for r in cover:
+        taken[r[1]] = taken.get(r[1], 0) + r[2]
+    rooms = groups.groupBy("_folder").agg(F.sum("_n").alias("_all"))
+    spent = F.coalesce(*[F.when(F.col("_folder").eqNullSafe(F.lit(f)), F.lit(n)) for f, n in taken.items()], F.lit(0))
+    rooms = rooms.select(F.col("_folder").alias("_in"), (F.lit(target) * F.col("_all") / max(total, 1) - spent).alias("_room"))
     w = Window.partitionBy("_folder").orderBy("_draw")
-    rest = fit.join(cover.select(group), group, "left_anti").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most)
-    rest = rest.join(rooms, "_folder").withColumn("_fits", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) <= F.col("_room"))
-    n_cover = cover.count()
-    more = max(least - n_cover, min(rest.where("_fits").count(), most - n_cover), 0)
-    return cover.select(group).unionByName(rest.orderBy(F.desc("_fits"), "_rn", "_draw").limit(more).select(group))
+    rest = fit.join(F.broadcast(held(cover)), group, "left_anti").withColumn("_rn", F.row_number().over(w)).withColumn("_sum", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rest = rest.where(F.col("_rn") <= most).join(rooms, F.col("_folder").eqNullSafe(F.col("_in"))).withColumn("_fits", F.col("_sum") <= F.col("_room"))
+    more = rest.select(group, "_fits").orderBy(F.desc("_fits"), "_rn", "_draw").limit(most).collect()  # at most `most` rows
+    n_more = max(least - len(cover), min(sum(r[1] for r in more), most - len(cover)), 0)
+    cells.unpersist()
+    return held([*cover, *more[:n_more]])
 
 
 def make_splits(pairs: DataFrame, group: str, folder: str, unit: str, dimension: str, seed: int = 42, **heldout) -> DataFrame:
