@@ -81,8 +81,40 @@ def factored(rx: str) -> str:
     return rx
 
 
+def first_characters(rx: str) -> set[str] | None:
+    """Members of a character class that holds every first character of the pattern's matches; None if that can't be told."""
+    out: set[str] = set()
+    for p in alternatives(rx):
+        p = p.removeprefix(r"\b")
+        if p.startswith("(?:"):
+            depth, i = 0, 0
+            while i < len(p):
+                depth += {"(": 1, ")": -1}.get(p[i], 0)
+                if not depth:
+                    break
+                i += 2 if p[i] == "\\" else 1
+            inner, end = first_characters(p[3:i]), i + 1
+        elif p.startswith("["):
+            end = p.find("]") + 1
+            inner = set(p[1 : end - 1]) if p[1 : end - 1].isalnum() else None
+        elif p.startswith(r"\d"):
+            inner, end = {r"\d"}, 2
+        else:
+            inner, end = ({p[0]} if p[:1].isalnum() else None), 1
+        if inner is None or p[end : end + 1] in ("?", "*", "{"):
+            return None
+        out |= inner
+    return out
+
+
+def hurried(rx: str) -> str:
+    """The same pattern behind a look at one character: at most positions it fails there."""
+    first = first_characters(rx)
+    return f"(?=[{''.join(sorted(first))}])(?:{factored(rx)})" if first else factored(rx)
+
+
 def signal_counts(c, signals: dict = SIGNALS) -> dict[str, Column]:
-    return {k: X.hits(c, "(?U)" + factored(rx)) for k, (rx, _, _) in signals.items()}
+    return {k: X.hits(c, "(?U)" + hurried(rx)) for k, (rx, _, _) in signals.items()}
 
 
 def density(c, signals: dict = SIGNALS, scale: float = SCALE) -> Column:
