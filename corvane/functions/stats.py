@@ -147,37 +147,53 @@ def _means(x: np.ndarray, seed: int, n_boot: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def boot_ci(df: DataFrame, value: str, by: list[str], seed: int = 0, n_boot: int = N_BOOT) -> DataFrame:
-    """by, mean, lo, hi, n: mean with its percentile bootstrap interval. A group's values go to one task: groups are evaluation cells."""
+#: Values that one task resamples.
+BLOCK = 1 << 16
+
+
+def _resampled(values: DataFrame, by: list[str], seed: int, n_boot: int) -> DataFrame:
+    """by, mean: n_boot rows for each group, the means of resamples as large as the group. values: by, _v (not null).
+
+    A group's values in order are dealt into blocks of BLOCK. How many of a resample's draws fall into each block is drawn first, alike in
+    every task; each block then draws its share of its own values. So a group of any size is resampled exactly, one block a task.
+    """
+    kinds, whole = dict(values.dtypes), Window.partitionBy(*by)
+    rows = values.withColumn("_b", F.floor((F.row_number().over(whole.orderBy("_v")) - 1) / BLOCK)).withColumn("_n", F.count(F.lit(1)).over(whole))
 
     def run(key, pdf):
-        x = np.sort(pdf["_v"].dropna().to_numpy(float))
-        if not len(x):
-            return pd.DataFrame([[*key, None, None, None, 0]], columns=[*by, "mean", "lo", "hi", "n"])
-        m = _means(x, seed, n_boot)
-        return pd.DataFrame([[*key, x.mean(), np.percentile(m, 2.5), np.percentile(m, 97.5), len(x)]], columns=[*by, "mean", "lo", "hi", "n"])
+        x, n, b = np.sort(pdf["_v"].to_numpy(float)), int(pdf["_n"].iloc[0]), int(key[-1])
+        if n <= BLOCK:
+            sums = _means(x, seed, n_boot) * n
+        else:
+            sizes = np.diff(np.minimum(np.arange(0, n + BLOCK, BLOCK), n))
+            shares, own = np.random.default_rng(seed).multinomial(n, sizes / n, n_boot)[:, b], np.random.default_rng([seed, b])
+            sums = np.array([x[own.integers(0, len(x), c)].sum() for c in shares])
+        return pd.DataFrame([[*key[:-1], n, list(sums)]], columns=[*by, "_n", "_sums"])
 
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", mean double, lo double, hi double, n long"
-    return df.select(*by, F.col(value).cast("double").alias("_v")).groupBy(*by).applyInPandas(run, schema)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", _n long, _sums array<double>"
+    sums = rows.groupBy(*by, "_b").applyInPandas(run, schema)
+    return sums.select(*by, "_n", F.posexplode("_sums").alias("_r", "_s")).groupBy(*by, "_r").agg((F.sum("_s") / F.first("_n")).alias("mean"))
 
 
-def paired_boot(df: DataFrame, base: str, system: str, by: list[str], seed: int = 0, n_boot: int = N_BOOT) -> DataFrame:
-    """by, diff, lo, hi, p, dz, n of paired values: p counts resampled means as far from the mean as the mean is from 0."""
+def boot_ci(df: DataFrame, value: str, by: list[str], seed: int = 0, n_boot: int = N_BOOT) -> DataFrame:
+    """by, mean, lo, hi, n: mean with its percentile bootstrap interval; nulls are no values."""
+    rows = df.select(*by, F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("_v"))
+    cells = rows.groupBy(*by).agg(F.avg("_v").alias("mean"), F.count("_v").alias("n"))
+    means = _resampled(rows.where("_v is not null"), by, seed, n_boot)
+    ends = means.groupBy(*by).agg(F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"))
+    return cells.join(ends, by, "left").select(*by, "mean", "lo", "hi", "n")
 
-    def run(key, pdf):
-        d = np.sort(pdf["_d"].dropna().to_numpy(float))
-        cols = [*by, "diff", "lo", "hi", "p", "dz", "n"]
-        if len(d) < 2:
-            return pd.DataFrame([[*key, None, None, None, None, None, len(d)]], columns=cols)
-        m, mean = _means(d, seed, n_boot), d.mean()
-        sd = d.std(ddof=1)
-        p = (np.count_nonzero(np.abs(m - mean) >= abs(mean)) + 1) / (n_boot + 1)
-        return pd.DataFrame([[*key, mean, np.percentile(m, 2.5), np.percentile(m, 97.5), p, mean / sd if sd > 0 else 0.0, len(d)]], columns=cols)
-
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", diff double, lo double, hi double, p double, dz double, n long"
-    return df.select(*by, (F.col(system) - F.col(base)).cast("double").alias("_d")).groupBy(*by).applyInPandas(run, schema)
+
+def paired_boot(df: DataFrame, base: str, system: str, by: list[str], seed: int = 0, n_boot: int = N_BOOT) -> DataFrame:
+    """by, diff, lo, hi, p, dz, n of paired values: p counts resampled means as far from the mean as the mean is from 0. Only n for fewer than two pairs."""
+    rows = df.select(*by, F.nanvl((F.col(system) - F.col(base)).cast("double"), F.lit(None).cast("double")).alias("_v"))
+    cells = rows.groupBy(*by).agg(F.avg("_v").alias("_mean"), F.stddev_samp("_v").alias("_sd"), F.count("_v").alias("n"))
+    means = _resampled(rows.where("_v is not null"), by, seed, n_boot).join(cells.select(*by, "_mean"), by)
+    far = F.count_if(F.abs(F.col("mean") - F.col("_mean")) >= F.abs("_mean"))
+    ends = means.groupBy(*by).agg(F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"), ((far + 1) / (n_boot + 1)).alias("p"))
+    some = lambda c: F.when(F.col("n") >= 2, c)
+    dz = F.when(F.col("_sd") > 0, F.col("_mean") / F.col("_sd")).otherwise(0.0)
+    return cells.join(ends, by, "left").select(*by, some(F.col("_mean")).alias("diff"), some(F.col("lo")).alias("lo"), some(F.col("hi")).alias("hi"), some(F.col("p")).alias("p"), some(dz).alias("dz"), "n")
 
 
 def nearest_rank(df: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:

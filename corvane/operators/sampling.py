@@ -119,10 +119,9 @@ def make_splits(pairs: DataFrame, group: str, folder: str, unit: str, dimension:
 
 def covering_splits(pairs: DataFrame, group: str, folder: str, unit: str, dimension: str, seed: int = 42, tries: int = 5, **heldout) -> tuple[DataFrame, int, int]:
     """Splits of the first seed whose two test splits hold every dimension, else of the one that misses fewest; with the seed and what is missing."""
-    best = None
+    best, all_dims = None, pairs.select(F.countDistinct(dimension)).first()[0]
     for s in range(seed, seed + tries):
         out = make_splits(pairs, group, folder, unit, dimension, s, **heldout)
-        all_dims = pairs.select(F.countDistinct(dimension)).first()[0]
         got = {r[0]: r[1] for r in out.groupBy("split").agg(F.countDistinct(dimension)).collect()}
         missing = sum(all_dims - got.get(t, 0) for t in ("test_indomain", "test_heldout_docs"))
         if best is None or missing < best[2]:

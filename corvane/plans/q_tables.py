@@ -478,10 +478,13 @@ def o06_length_sorted_batches(spark, d):
     return table(spark, d, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, n int")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents")
+@query("WITH s AS (SELECT doc_id, n_chars, (row_number() OVER (ORDER BY CAST('0x' || substr(md5('6|' || CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT), doc_id) - 1) // 256 AS block FROM documents) SELECT doc_id, CAST(block AS BIGINT) AS block, CAST(row_number() OVER (PARTITION BY block ORDER BY n_chars, doc_id) - 1 AS INTEGER) AS pos FROM s")
 def o07_shuffled_blocks(spark, d):
-    dealt = table(spark, d, "documents").select("doc_id", "n_chars").repartition(8, F.xxhash64(F.lit(42), "doc_id")).sortWithinPartitions("n_chars")
-    return dealt.agg(F.count(ONE).alias("n"), F.sum("n_chars").alias("chars"))
+    from ..operators.sampling import placed_by_draw
+
+    blocks = placed_by_draw(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id", 6).withColumn("block", F.expr("(place - 1) div 256"))
+    pos = F.row_number().over(Window.partitionBy("block").orderBy("n_chars", "doc_id")) - 1
+    return blocks.select("doc_id", "block", pos.alias("pos"))
 
 
 @query("SELECT c_nationkey, arg_max(c_custkey, (c_mktsegment, c_acctbal, c_custkey)) AS best FROM customer GROUP BY c_nationkey")

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,16 @@ def test_guarded_recall(spark):
     df = spark.createDataFrame(rows, "g string, k int, p double")
     got = df.groupBy("g").agg(F.when(F.count("p") >= F.max("k"), F.avg((F.col("p") >= 0.5).cast("double"))).alias("r")).orderBy("g").collect()
     assert [x.r for x in got] == [None, pytest.approx(2 / 3)]
+
+
+def test_large_cells_are_resampled_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.r_[rng.normal(0, 1, 700), rng.normal(30, 5, 300)]
+    df = spark.createDataFrame([("a", float(v)) for v in x], "g string, x double")
+    whole = S.boot_ci(df, "x", ["g"]).first()
+    monkeypatch.setattr(S, "BLOCK", 64)
+    parts = S.boot_ci(df, "x", ["g"]).first()
+    half = 1.96 * x.std() / np.sqrt(len(x))
+    for r in (whole, parts):
+        assert r.n == 1000 and abs(r.mean - x.mean()) < 1e-9 and abs(r.lo - (x.mean() - half)) < 0.1 * half and abs(r.hi - (x.mean() + half)) < 0.1 * half
+    assert parts[1:] == pytest.approx(S.boot_ci(df.repartition(3), "x", ["g"]).first()[1:])  # however the rows are dealt
