@@ -182,3 +182,89 @@ def test_cached_completions(run, spark):
     got = run("l01_cached_completion")
     assert sorted(r.answer for r in got) == sorted(M.echo(sorted(asked))) and {r.cached for r in got} == {True, False} and all(r.cached == (r.key < "8") for r in got)
     assert len({r.key for r in got}) == len(got) and all(re.fullmatch("[0-9a-f]{64}", r.key) for r in got) and hashlib is not None
+
+
+def test_signals_with_lookaround(run, documents):
+    from corvane.operators import scoring
+
+    rules = {f"n_{k}": re.compile(scoring.SIGNALS[k][0]) for k in ("number", "percent_or_stat")}
+    for r in run("x17_signals_with_lookaround"):
+        assert all(r[k] == sum(1 for _ in rx.finditer(documents[r.doc_id])) for k, rx in rules.items())
+
+
+def test_banned_phrases(run, spark):
+    from corvane.operators import scoring
+
+    banned = re.compile(r"\b(?:" + "|".join(f"(?:{p})" for p in scoring.BANNED) + ")", re.I)
+    meta = re.compile("|".join(f"(?:{p})" for p in scoring.META), re.I)
+    from corvane.plans.stand_ins import pairs
+
+    asked = {r.qa_id: f"What does {'a policy' if r.qa_id % 2 else 'the evidence'} say on {r.question}" for r in pairs(spark, DATA).collect()}
+    first = lambda rx, t: m[0] if (m := rx.search(t)) else None
+    assert {r.qa_id: (r.banned, r.meta) for r in run("x19_banned_phrases")} == {k: (first(banned, t), first(meta, t)) for k, t in asked.items()}
+
+
+def test_exact_reproduction(run, spark):
+    from corvane.plans.stand_ins import pairs
+
+    def near(a, b):
+        x, y = (re.findall("[a-z0-9]+", t.lower()) for t in (a, b))
+        return bool(x and y) and 2 * lcs(x, y) / (len(x) + len(y)) >= 0.8
+
+    want = {r.qa_id: near(r.question if r.qa_id % 2 else r.answer, r.answer) for r in pairs(spark, DATA).collect()}
+    assert {r.qa_id: r.reproduced for r in run("m06_exact_reproduction")} == want
+
+
+def test_paraphrases(run, spark):
+    from corvane.operators import scoring
+    from corvane.plans.stand_ins import pairs
+
+    banned = re.compile(r"\b(?:" + "|".join(f"(?:{p})" for p in scoring.BANNED) + ")", re.I)
+    want = {}
+    for r in pairs(spark, DATA).collect():
+        ok = lambda x: not banned.search(x) and r.question[:10] in x  # noqa: B023, E731
+        made = [f"In short: {r.question}", f"As noted in the text, {r.question}", f"Say {r.answer}"]
+        bad = [x for x in made if not ok(x)]
+        again = [x for x in (f"Please tell: {b}" for b in bad) if ok(x)]
+        want[r.qa_id] = ([x for x in made if ok(x)] + again, len(bad), len(bad) - len(again))
+    assert {r.qa_id: (r.paraphrases, r.n_bad, r.n_dropped) for r in run("l11_paraphrases_fixed")} == want
+
+
+def test_reranked(run, spark, documents):
+    """The five best of BM25's ten by the share of the question's words that the text holds; BM25 in plain Python."""
+    texts = {k: re.findall("[a-z0-9]+", t.lower()) for k, t in documents.items()}
+    texts = {k: w for k, w in texts.items() if w}
+    n, mean = len(texts), sum(map(len, texts.values())) / len(texts)
+    counts = {k: Counter(w) for k, w in texts.items()}
+    df = Counter(t for c in counts.values() for t in c)
+    want = set()
+    for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect():
+        asked = set(re.findall("[a-z0-9]+", r.text.lower()))
+        score = {}
+        for k, c in counts.items():
+            if asked & c.keys():
+                score[k] = round(sum(np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * len(texts[k]) / mean)) for t in asked if c[t]), 6)
+        top = sorted(score, key=lambda k: (-score[k], k))[:10]
+        share = {k: len(asked & counts[k].keys()) / max(len(asked), 1) for k in top}
+        want |= {(r.item_id, k, i + 1) for i, k in enumerate(sorted(top, key=lambda k: (-share[k], k))[:5])}
+    assert {tuple(r) for r in run("r04_rerank")} == want
+
+
+def test_packed_chunks_hold_every_block_once(run, spark):
+    from corvane.plans.stand_ins import blocks
+
+    own = {(b.doc_id, b.block_id): b for b in blocks(spark, DATA).where("not skip").collect()}
+    seen, last = Counter(), {}
+    for c in sorted(run("c12_packed_chunks"), key=lambda c: (c.doc_id, c.n)):
+        assert c.n == last.get(c.doc_id, -1) + 1 and c.chunk_id == f"{c.doc_id}:{c.n:04d}"
+        last[c.doc_id] = c.n
+        rows = [own[c.doc_id, k] for k in dict.fromkeys(c.block_ids)]
+        assert len({r.section_path[0] for r in rows}) == 1 and (c.page_start, c.page_end) == (min(r.page for r in rows), max(r.page for r in rows))
+        assert c.n_tokens == len(c.text.split()) and (c.overlap_tokens == 0 or c.overlap_tokens <= 12)
+        body = c.text.split("\n\n", 1)[1] if c.overlap_tokens else c.text
+        if not c.split_paragraph:
+            assert body == "\n\n".join(r.text for r in rows)
+            seen.update((c.doc_id, k) for k in c.block_ids)
+        else:
+            seen.update((c.doc_id, k) for k in set(c.block_ids) if own[c.doc_id, k].type == "table" or len(own[c.doc_id, k].text.split()) <= 130)
+    assert seen == Counter(k for k, b in own.items() if b.type == "table" or len(b.text.split()) <= 130)
