@@ -5,8 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: ASCII white space as one character each, for translate().
 BLANKS = " \t\n\x0b\x0c\r"
+#: Bytes of text that Python works on at a time.
+PORTION_BYTES = 1 << 20
 
 _own_dirs: dict[str, str] = {}
 
@@ -72,6 +78,23 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
 
 
+def portions(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in batches of at most PORTION_BYTES of text each, a longer text alone: a worker's memory does not grow with the texts of a batch.
+
+    In the end Arrow's free memory goes back to the system, since workers outlive their tasks.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        k = 0
+        while k < batch.num_rows:
+            before = int(ends[k - 1]) if k else 0
+            n = max(int(np.searchsorted(ends, before + PORTION_BYTES, "right")) - k, 1)
+            yield batch.slice(k, n)
+            k += n
+        del batch
+    pa.default_memory_pool().release_unused()
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 

@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import common as C
+
 BLANK = "▁"
 #: Stands for a blank mark that the text itself holds; lone surrogates occur in no text.
 OWN_BLANK = "\ud800"
@@ -251,7 +253,7 @@ def encoded(docs: DataFrame, model_path: str | None = None, with_ids: bool = Fal
 
     def run(batches):
         enc = encoder(model_path)
-        for batch in batches:
+        for batch in C.portions(batches, 1):
             found = [enc.encode(x.as_py()) for x in batch.column(1)]
             back = [enc.decode(b) == (x.as_py() or "") for b, x in zip(found, batch.column(1), strict=True)]
             cols = [batch.column(0), pa.array([len(b) // 4 for b in found], pa.int64()), pa.array([zlib.crc32(b) for b in found], pa.int64()), pa.array(back)]

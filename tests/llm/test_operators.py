@@ -693,6 +693,26 @@ def test_window_is_bounded():
     assert held < 12 * e.v.longest
 
 
+def test_encoding_works_on_a_bounded_portion_of_a_batch():
+    """One batch of Spark's rows, whose texts are long: what is held and given out at a time stays small, and no row is lost."""
+    import pyarrow as pa
+
+    class Docs:
+        selectExpr = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    texts = ["word and word " * n for n in (0, 3, 40_000, 1, 100_000, 200_000, 2, 30_000)]
+    rows = [(k, x or None) for k, x in enumerate(texts * 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows])], ["doc_id", "text"])
+    empty = batch.slice(0, 0)
+    got = list(viterbi.encoded(Docs(), with_ids=True)(iter([empty, batch.slice(0, 5), batch.slice(5)])))
+    sizes = {k: len((x or "").encode()) for k, x in rows}
+    assert all(b.num_rows == 1 or sum(sizes[k] for k in b.column(0).to_pylist()) <= C.PORTION_BYTES for b in got)
+    e = viterbi.encoder()
+    found = [(k, np.array(ids, "<u4").tobytes(), same) for b in got for k, ids, same in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), b.column(3).to_pylist(), strict=True)]
+    assert found == [(k, e.encode(x), True) for k, x in rows]
+
+
 # ---- pipeline
 
 
