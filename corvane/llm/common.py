@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -22,6 +23,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 PORTION_BYTES = 1 << 20
 
 _own_dirs: dict[str, str] = {}
+_kept: dict[Hashable, object] = {}
 
 
 def known_to_workers(spark: SparkSession) -> None:
@@ -81,7 +83,7 @@ def let(value: Column, body) -> Column:
 def portions(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """The rows of batches in batches of at most PORTION_BYTES of text each, a longer text alone: a worker's memory does not grow with the texts of a batch.
 
-    In the end Arrow's free memory goes back to the system, since workers outlive their tasks.
+    In the end free memory goes back to the system.
     """
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -92,7 +94,31 @@ def portions(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.Reco
             yield batch.slice(k, n)
             k += n
         del batch
+    give_back()
+
+
+def kept(key: Hashable, make: Callable[[], object]):
+    """What a worker keeps from task to task, made by make(): one thing at a time, since workers outlive the stages of a pipeline
+    and what an earlier stage's tasks left would take room beside every later stage."""
+    if key not in _kept:
+        forget()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    """Drop what the tasks of other operators kept in this worker. For tasks that keep nothing."""
+    if _kept:
+        _kept.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Free memory of Arrow and of the C library goes back to the system, since workers outlive their tasks."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def words_of(text: Column) -> Column:

@@ -7,9 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from . import common as C
+
 
 def by_key(batches, *keys: str) -> Iterator[pa.RecordBatch]:
-    """Input: record batches of a partition sorted by the keys (long; "key" if none is named). Yields one batch or table per key; groups may span batches."""
+    """Input: record batches of a partition sorted by the keys (long; "key" if none is named). Yields one batch or table per key; groups may span batches. In the end free memory goes back to the system."""
     keys = keys or ("key",)
     held: list[pa.RecordBatch] = []
     held_key = None
@@ -30,3 +32,4 @@ def by_key(batches, *keys: str) -> Iterator[pa.RecordBatch]:
             held.append(part)
     if held:
         yield held[0] if len(held) == 1 else pa.Table.from_batches(held)
+    C.give_back()

@@ -140,7 +140,8 @@ def marks(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, d1, d2 (digest of the set), sig (T tokens of 4 bytes; null without shingles)."""
 
     def run(batches):
-        for batch in batches:
+        C.forget()
+        for batch in C.portions(batches, 2):
             n, d1, d2, sig = [], [], [], []
             for x in batch.column(2):
                 h = shingles(x.as_py())

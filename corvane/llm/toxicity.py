@@ -203,15 +203,12 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Chain:
     return Chain(fit_chain(rows, categories(column(2), column(3)), np.array([r[1] for r in got], int)))
 
 
-_workers: dict[str, Features] = {}
+def _features_of(chain: Chain) -> Features:
+    """Words met by one task help the next one in the same worker."""
+    return C.kept(("toxicity", hash((chain.weights.tobytes(), tuple(chain.choice)))), lambda: Features(chain.choice))
 
 
-def _scored(chain: Chain, texts: pa.Array) -> np.ndarray:
-    key = str(hash((chain.weights.tobytes(), tuple(chain.choice))))
-    if key not in _workers:  # words met by one task help the next one in the same worker
-        _workers.clear()
-        _workers[key] = Features(chain.choice)
-    feats = _workers[key]
+def _scored(chain: Chain, feats: Features, texts: pa.Array) -> np.ndarray:
     return chain.probs([feats.of(x.as_py()) for x in texts])
 
 
@@ -219,8 +216,9 @@ def scores(docs: DataFrame, chain: Chain) -> DataFrame:
     """doc_id, p_<category>, rejected, kept."""
 
     def run(batches):
-        for batch in batches:
-            p = _scored(chain, batch.column(1))
+        feats = _features_of(chain)
+        for batch in C.portions(batches, 1):
+            p = _scored(chain, feats, batch.column(1))
             bad = p.max(axis=1) >= THRESHOLD if len(p) else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(p[:, k]) for k in range(p.shape[1])], pa.array(bad), pa.array(~bad)], ["doc_id", *[f"p_{c}" for c in CATEGORIES], "rejected", "kept"])
 
@@ -232,9 +230,9 @@ def keep(docs: DataFrame, chain: Chain) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(_scored(chain, batch.column(at)).max(axis=1) < THRESHOLD))
+        feats = _features_of(chain)
+        for batch in C.portions(batches, at):
+            yield batch.filter(pa.array(_scored(chain, feats, batch.column(at)).max(axis=1) < THRESHOLD))
 
     plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # any names pass, dots too
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -37,6 +37,8 @@ MEMO = 300_000
 PORTION = 4096
 LONGEST_MEMO = 48
 _STRETCH = re.compile(f"{BLANK}+[^{BLANK}]*")
+#: The same before blanks are marked.
+_PLAIN_STRETCH = re.compile(" +[^ ]*")
 _NEG = float("-inf")
 
 
@@ -206,7 +208,8 @@ class Encoder:
         return struct.pack(f"<{len(out)}I", *out)
 
     def _fresh(self, stretch: str) -> bytes:
-        ids = self.older.get(stretch) or self._ids(stretch)
+        """stretch: with plain blanks, since a string with a blank mark takes two bytes a character."""
+        ids = self.older.get(stretch) or self._ids(stretch.replace(" ", BLANK))
         if len(stretch) <= LONGEST_MEMO:
             if len(self.memo) >= MEMO:  # the stretches met since the last time stay at hand
                 self.older, self.memo = self.memo, {}
@@ -217,11 +220,10 @@ class Encoder:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        whole = marked(text)
         if not self.v.splits_at_blanks:
-            return self._ids(whole)
+            return self._ids(marked(text))
         memo, out = self.memo.get, []
-        for s in _STRETCH.findall(whole):
+        for s in _PLAIN_STRETCH.findall(" " + text.replace(BLANK, OWN_BLANK)):
             ids = memo(s)
             if ids is None:
                 ids = self._fresh(s)
@@ -234,18 +236,13 @@ class Encoder:
         return b"".join([out[i] for i in np.frombuffer(ids, "<u4").tolist()])[1:].decode()
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str | None = None) -> Encoder:
     """This worker's encoder; path: of the model file, by default the public 32,000-piece vocabulary."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(MODEL)
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return C.kept(("viterbi", path), lambda: Encoder(path))
 
 
 def encoded(docs: DataFrame, model_path: str | None = None, with_ids: bool = False) -> DataFrame:
